@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, mixing
+from barloom.llm import bpe, media, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_quality": quality.op5_quality,
+    "op7_media": media.op7_media,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
