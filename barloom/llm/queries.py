@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, media, mixing, quality, simhash
+from barloom.llm import bpe, linededup, media, mixing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality": quality.op5_quality,
     "op7_media": media.op7_media,
+    "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
+    "op3_line_dedup": linededup.OP3_SQL,
 }
