@@ -111,6 +111,11 @@ class ByteBpe:
         self._learn(set(words))
         return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
+    def count(self, text: str) -> int:
+        words = self.split(text)
+        self._learn(set(words))
+        return sum(map(len, map(self.known.__getitem__, words)))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 

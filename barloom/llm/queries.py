@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, linededup, media, mixing, pii, quality, simhash
+from barloom.llm import bpe, linededup, media, mixing, pii, quality, simhash, substring, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_token_counts": tokencounts.op2_token_counts,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality": quality.op5_quality,
     "op7_media": media.op7_media,
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
+    "op2_token_counts": tokencounts.op2_token_counts,
     "op3_line_dedup": linededup.OP3_SQL,
 }
