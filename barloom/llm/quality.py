@@ -81,9 +81,9 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int, float, f
     return (n_words, chars, symbols, dup, repeats, *vector)
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with the base counts, base_failed and the features (``__f_`` columns)."""
-    kept = docs.drop(text, *BASE, "base_failed")
+def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` (without the text, unless it is kept) with the base counts, base_failed and the features (``__f_`` columns)."""
+    kept = docs.drop(*([] if keep_text else [text]), *BASE, "base_failed")
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in BASE), T.StructField("base_failed", T.BooleanType()), *(T.StructField(f"__f_{c}", T.DoubleType()) for c in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +178,11 @@ def robust_verdicts(rows: DataFrame, lang: str = "lang", source: str = "source")
     return judged.withColumn("kept", kept).select(*rows.columns, "distance", "kept")
 
 
+def good_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    return robust_verdicts(with_statistics(docs, keep_text=True), **options).filter("kept").select(*docs.columns)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
     return robust_verdicts(with_statistics(docs)).select("doc_id", *BASE, "base_failed", "kept")

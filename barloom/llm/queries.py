@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, linededup, media, mixing, pii, quality, simhash, substring, tokencounts
+from barloom.llm import bpe, linededup, media, mixing, pii, quality, simhash, substring, tokencounts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality": quality.op5_quality,
+    "op6_warc": warc.op6_warc,
     "op7_media": media.op7_media,
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_token_counts": tokencounts.op2_token_counts,
     "op3_line_dedup": linededup.OP3_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
