@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _LOCAL: list[str] = []
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,7 +40,17 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[back] = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for these frames; nothing may read them any more."""
+    for frame in frames:
+        spark, path = frame.sparkSession, _WRITTEN.pop(frame)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -26,19 +26,21 @@ empty result; other columns pass through unless their names begin with ``__``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import materialise, read_documents, release, whole_text
+from barloom.llm.common import discard, materialise, read_documents, release, whole_text
 
 WINDOW = 20
 GRAM = 6
 CLASSES = 256  # classes of an anchor that are dealt together
+BROADCAST = 100_000  # crowded anchors (16 bytes each) that are broadcast; more are joined by shuffle
 CHUNK = 250_000  # words of whole shards in an index
 OUTPUT = 8_000_000  # bytes of texts whose segments a task holds at once
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -246,6 +248,9 @@ def _search(dealt: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list[tuple]) -> pa.RecordBatch:
+            # a class alone with its anchor holds a window twice only if as many of its words as a window has occur in it before
+            shared = Counter(r[:2] for r in rows)
+            rows = [r for r in rows if shared[r[:2]] > 1 or len(words := r[5].split()) - len(set(words)) >= window]
             ids = np.array([-(1 << 63) if r[2] is None else r[2] for r in rows], np.int64)
             hashes, starts = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
             text, place = repeated_windows([r[5].split() for r in rows], ids, hashes, starts, window)
@@ -276,45 +281,52 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     each = materialise(_anchors(texts, window), "anchors")
     rows = each.select("id", "text_hash", F.explode("anchors").alias("anchor"))
     common = materialise(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "common-anchors")
+    release(spark)
     flagged = materialise(rows.join(common, "anchor").groupBy("id", "text_hash").agg(F.collect_set("anchor").alias("anchors")), "flagged")
+    discard(each, common)
     release(spark)
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["text_hash"] == b["text_hash"])
-    searched = texts.join(flagged, same(texts, flagged)).select(texts["id"], texts["text_hash"], "raw", "anchors")
+    same = texts["id"].eqNullSafe(flagged["id"]) & (texts["text_hash"] == flagged["text_hash"])
+    searched = texts.join(flagged, same).select(texts["id"], texts["text_hash"], "raw", "anchors")
     found = _segments(searched, window).withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit("segment"), "words"))
     found = materialise(found, "segments")
+    discard(flagged)
     release(spark)
     place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("text_hash"), F.col("start")).alias("place")
     class_key = ["anchor", "h1", "h2"]
-    classes = found.groupBy(*class_key).agg(F.min(place).alias("first"), F.min("words").alias("words"))
-    classes = materialise(classes, "segment-classes")
-    later = found.join(classes.select(*class_key, "first"), class_key).filter(~place.eqNullSafe(F.col("first")))
+    classes = materialise(found.groupBy(*class_key).agg(F.min(place).alias("first"), F.min("words").alias("words")), "segment-classes")
+    release(spark)
     covered = F.size(F.split(F.col("words").cast("string"), " "))
-    later = later.select("id", "text_hash", F.col("start").alias("a"), (F.col("start") + covered).alias("b"))
-    crowded = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLASSES).withColumn("deals", F.ceil(F.col("n") / 64).cast("int"))
-    alone = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = classes.join(alone.select("anchor"), "anchor", "left_semi").join(crowded.select("anchor", "deals"), "anchor", "left")
+    firsts = classes.select(*class_key, "first", covered.alias("covered"))
+    later = found.select(*class_key, "id", "text_hash", "start").join(firsts, class_key).filter(~place.eqNullSafe(F.col("first")))
+    later = materialise(later.select("id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("covered")).alias("b")), "later")
+    discard(found)
+    release(spark)
+    ranges = materialise(_search(_dealt(classes, window), window).union(later).groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "repeats")
+    discard(classes, later)
+    release(spark)
+    return ranges
+
+
+def _dealt(classes: DataFrame, window: int) -> DataFrame:
+    """(anchor, salt, id, text_hash, start, words): each class whole, those of crowded anchors by windows."""
+    crowded = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLASSES).select("anchor", F.ceil(F.col("n") / 64).cast("int").alias("deals"))
+    crowded = materialise(crowded, "crowded")
+    small = crowded.count() <= BROADCAST
     listed = F.split(F.col("words").cast("string"), " ")
     whole = F.array(F.struct(F.lit(0).alias("salt"), F.lit(0).alias("skip"), F.col("words").alias("part")))
 
-    def one_window(k):
+    def one_window(k: Column) -> Column:
         part = F.array_join(F.slice("listed", k + 1, window), " ")
         return F.struct(F.pmod(F.xxhash64(part), F.col("deals")).cast("int").alias("salt"), k.alias("skip"), part.cast("binary").alias("part"))
 
-    dealt = dealt.withColumn("listed", F.when(F.col("deals").isNotNull(), listed))
+    dealt = classes.join(F.broadcast(crowded) if small else crowded, "anchor", "left").withColumn("listed", F.when(F.col("deals").isNotNull(), listed))
     parts = F.when(F.col("deals").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.size("listed") - window), one_window))
-    dealt = dealt.select("anchor", "first", F.inline(parts)).select("anchor", "salt", "first.id", "first.text_hash", (F.col("first.start") + F.col("skip")).alias("start"), F.col("part").alias("words"))
-    # a class alone with its anchor holds a window twice only if as many words as a window has occur in it before
-    again = F.size(listed) - F.size(F.array_distinct(listed)) >= window
-    lone = classes.join(alone.select("anchor"), "anchor", "left_anti").filter(again)
-    lone = lone.select("anchor", F.lit(0).alias("salt"), "first.id", "first.text_hash", "first.start", "words")
-    ranges = _search(dealt.union(lone), window).union(later)
-    return ranges.groupBy("id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    return dealt.select("anchor", "first", F.inline(parts)).select("anchor", "salt", "first.id", "first.text_hash", (F.col("first.start") + F.col("skip")).alias("start"), F.col("part").alias("words"))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_removed and ``kept_text`` (the words that stay, joined by one space)."""
-    ranges = materialise(repeated_ranges(docs, id_column, text, window), "repeats")
-    release(docs.sparkSession)
+    ranges = repeated_ranges(docs, id_column, text, window)
     rows = docs.drop("n_words", "n_removed", "kept_text").withColumn("__text_hash", F.xxhash64(whole_text(text)))
     ranges = ranges.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("ranges").alias("__ranges"))
     joined = rows.join(ranges, F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
