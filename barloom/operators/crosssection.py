@@ -59,7 +59,7 @@ def purged_split(panel: DataFrame, valid_ratio: float = 0.15, test_ratio: float
 
 
 def walk_forward_windows(panel: DataFrame, n_splits: int = 5, valid_days: int = 60, embargo: int = 5, expanding: bool = True, min_train: int = 120) -> DataFrame:
-    """(window, train_start, train_end, valid_start, valid_end): validation windows from the end backwards, in time order."""
+    """(split_no, train_start, train_end, valid_start, valid_end): validation windows from the end backwards, in time order."""
     days = panel.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     spans = days.select("n").limit(1).withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
     spans = spans.withColumn("v1", F.col("n") - F.col("back") * valid_days + 1).withColumn("v2", F.col("v1") + valid_days - 1).withColumn("t2", F.col("v1") - 1 - embargo)
@@ -69,4 +69,4 @@ def walk_forward_windows(panel: DataFrame, n_splits: int = 5, valid_days: int =
     at = days.select(F.col("k").alias("__k"), F.col("date").alias("__d"))
     for name, key in (("train_start", "t1"), ("train_end", "t2"), ("valid_start", "v1"), ("valid_end", "v2")):
         spans = spans.join(at, F.col(key) == F.col("__k")).withColumn(name, F.col("__d")).drop("__k", "__d")
-    return spans.withColumn("window", F.row_number().over(Window.orderBy("v1"))).select("window", "train_start", "train_end", "valid_start", "valid_end")
+    return spans.withColumn("split_no", F.row_number().over(Window.orderBy("v1"))).select("split_no", "train_start", "train_end", "valid_start", "valid_end")
