@@ -21,14 +21,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import read_documents, whole_text
 
 #: Pre-tokens remembered by a Python worker at once.
 REMEMBERED = 200_000
+#: Texts whose tokens a worker holds at once.
+PIECE = 500
 
 
 def vocabulary_path() -> str:
@@ -129,14 +133,24 @@ def coder(path: str | None, pattern: str | None) -> ByteBpe:
     return ByteBpe(path or vocabulary_path(), pattern)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most PIECE rows, so that a worker holds the tokens of few texts at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, PIECE):
+            yield batch.slice(k, PIECE)
+
+
+def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+
+
 def encode_documents(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` array<int>: the tokens of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for batch in batches:
-            ids = pa.array([bpe.encode(t or "") for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+        for batch in _slices(batches):
+            yield _with(batch, "ids", pa.array([bpe.encode(t or "") for t in batch.column(text).to_pylist()], pa.list_(pa.int32())))
 
     kept = docs.drop("ids")
     return kept.mapInArrow(run, kept.withColumn("ids", F.array().cast("array<int>")).schema)
@@ -147,34 +161,34 @@ def decode_ids(rows: DataFrame, ids: str = "ids", path: str | None = None, patte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for batch in batches:
-            raw = pa.array([bpe.decode(x or []) for x in batch.column(ids).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, "decoded"])
+        for batch in _slices(batches):
+            yield _with(batch, "decoded", pa.array([bpe.decode(x.as_py() or []) for x in batch.column(ids)], pa.binary()))
 
     kept = rows.drop("decoded")
     return kept.mapInArrow(run, kept.withColumn("decoded", F.lit(b"").cast("binary")).schema)
 
 
-def round_trip(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Digests of encoding and decoding each text: n_tokens, ids_sha256, decoded_sha256."""
-    kind = docs.schema[id_column].dataType
+def round_trip(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Encode each text and decode its tokens: the id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` if they are kept."""
+    schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if keep_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for batch in batches:
-            n, digest, back = [], [], []
-            for t in batch.column("t").to_pylist():
+        for batch in _slices(batches):
+            n, digest, back, kept = [], [], [], []
+            for t in batch.column(1).to_pylist():
                 ids = bpe.encode(t)
                 n.append(len(ids))
                 digest.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    narrow = docs.select(F.col(id_column), whole_text(text).alias("t"))
-    from pyspark.sql import types as T
+                if keep_ids:
+                    kept.append(np.array(ids, np.int32))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), schema.names)
 
-    schema = T.StructType([T.StructField(id_column, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return narrow.mapInArrow(run, schema)
+    return docs.select(F.col(id_column), whole_text(text).alias("t")).mapInArrow(run, schema)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

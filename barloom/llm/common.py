@@ -39,7 +39,7 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[back] = path
     return back

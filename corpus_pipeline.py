@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.bpe import decode_ids, encode_documents
+from barloom.llm.bpe import round_trip
 from barloom.llm.common import materialise, read_documents
 from barloom.llm.linededup import without_common_lines
 from barloom.llm.mixing import mixed_documents
@@ -39,9 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and the digest of the decoded bytes."""
-    coded = decode_ids(encode_documents(docs.select("doc_id", "lang", "source", "text")).drop("text"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, the digests of the ids and of the decoded bytes, and the ids."""
+    return round_trip(docs, keep_ids=True)
 
 
 STAGES = [
