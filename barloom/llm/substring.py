@@ -39,7 +39,8 @@ from barloom.llm.common import discard, materialise, read_documents, release, wh
 
 WINDOW = 20
 GRAM = 6
-CLASSES = 256  # classes of an anchor that are dealt together
+CLASSES = 2048  # classes of an anchor that are dealt together; of more, windows are dealt
+DEAL = 512  # classes whose windows make a deal, on average
 BROADCAST = 100_000  # crowded anchors (16 bytes each) that are broadcast; more are joined by shuffle
 CHUNK = 250_000  # words of whole shards in an index
 OUTPUT = 8_000_000  # bytes of texts whose segments a task holds at once
@@ -309,7 +310,7 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 def _dealt(classes: DataFrame, window: int) -> DataFrame:
     """(anchor, salt, id, text_hash, start, words): each class whole, those of crowded anchors by windows."""
-    crowded = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLASSES).select("anchor", F.ceil(F.col("n") / 64).cast("int").alias("deals"))
+    crowded = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CLASSES).select("anchor", F.ceil(F.col("n") / DEAL).cast("int").alias("deals"))
     crowded = materialise(crowded, "crowded")
     small = crowded.count() <= BROADCAST
     listed = F.split(F.col("words").cast("string"), " ")
