@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-S = Window.partitionBy("symbol").orderBy("date")
-#: All rows of a symbol so far, and all rows of a date.
-U = S.rowsBetween(Window.unboundedPreceding, 0)
-X = Window.partitionBy("date")
 
+def in_order() -> WindowSpec:
+    """A symbol's rows by date."""
+    return Window.partitionBy("symbol").orderBy("date")
 
-def rows(first: int, last: int):
-    return S.rowsBetween(first, last)
 
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
-def last_n(n: int):
+
+def same_date() -> WindowSpec:
+    return Window.partitionBy("date")
+
+
+def rows(first: int, last: int) -> WindowSpec:
+    return in_order().rowsBetween(first, last)
+
+
+def last_n(n: int) -> WindowSpec:
     """The current row and the n - 1 before it."""
     return rows(1 - n, 0)
 
@@ -39,15 +47,15 @@ def _all_known(inputs: tuple[Column | str, ...]) -> Column:
 
 
 def lag(x: Column | str, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(S)
+    return F.lag(col(x), n).over(in_order())
 
 
 def lead(x: Column | str, n: int = 1) -> Column:
-    return F.lead(col(x), n).over(S)
+    return F.lead(col(x), n).over(in_order())
 
 
 def ffill(x: Column | str) -> Column:
-    return F.last(col(x), ignorenulls=True).over(U)
+    return F.last(col(x), ignorenulls=True).over(so_far())
 
 
 def div(a: Column, b: Column) -> Column:

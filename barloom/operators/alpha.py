@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.panel import S, div, holds, lag, last_n, lead, over_full, rolling_corr
+from barloom.functions.panel import div, holds, in_order, lag, last_n, lead, over_full, rolling_corr
 
 WINDOWS = (5, 10, 20, 30, 60)
 EPS = 1e-12
@@ -42,7 +42,7 @@ def prices(bars: DataFrame) -> dict[str, Column]:
 def prepared(bars: DataFrame) -> DataFrame:
     """What the rolling features share: row number, changes and ratios."""
     c, v = F.col("close"), F.col("volume")
-    out = bars.withColumns({"__rn": F.row_number().over(S).cast("double"), "__c1": lag("close"), "__v1": lag("volume")})
+    out = bars.withColumns({"__rn": F.row_number().over(in_order()).cast("double"), "__c1": lag("close"), "__v1": lag("volume")})
     up, rise = c - F.col("__c1"), v - F.col("__v1")
     ratio = div(v, F.col("__v1"))
     return out.withColumns(

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.panel import X, average_rank, clip, div
+from barloom.functions.panel import average_rank, clip, div, same_date
 
 
 def rank_norm(panel: DataFrame, *columns: str) -> DataFrame:
     """Average rank within the date, centred, over the count, times the root of 12."""
     out = panel.withColumns({f"__r_{c}": average_rank(c, "date") for c in columns})
-    n = {c: F.count(c).over(X) for c in columns}
+    n = {c: F.count(c).over(same_date()) for c in columns}
     return out.withColumns({c: (F.col(f"__r_{c}") - (n[c] + 1) / 2) / n[c] * F.sqrt(F.lit(12.0)) for c in columns}).drop(*(f"__r_{c}" for c in columns))
 
 
 def zscore_norm(panel: DataFrame, *columns: str) -> DataFrame:
-    return panel.withColumns({c: div(F.col(c) - F.avg(c).over(X), F.stddev_samp(c).over(X)) for c in columns})
+    return panel.withColumns({c: div(F.col(c) - F.avg(c).over(same_date()), F.stddev_samp(c).over(same_date())) for c in columns})
 
 
 def finite(frame: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.panel import U, div, ffill, lag
+from barloom.functions.panel import div, ffill, lag, so_far
 
 
 def align_events(bars: DataFrame, events: DataFrame, value: str = "value", published: str = "publish_date", limit: int | None = None, name: str = "aligned") -> DataFrame:
@@ -62,7 +62,7 @@ def holder_change(bars: DataFrame, events: DataFrame, value: str = "holders", pu
     out = align_events(bars, events, value, published, limit, "__v")
     first = F.row_number().over(Window.partitionBy("symbol", "__v").orderBy("date")) == 1
     out = out.withColumn("__new", F.when(first, F.col("__v")))
-    out = out.withColumn("__old", F.last("__new", ignorenulls=True).over(U.rowsBetween(Window.unboundedPreceding, -1)))
+    out = out.withColumn("__old", F.last("__new", ignorenulls=True).over(so_far().rowsBetween(Window.unboundedPreceding, -1)))
     change = F.when(F.col("__new").isNotNull(), -(div(F.col("__new"), F.col("__old")) - 1))
     return out.withColumn("__c", change).withColumn(name, ffill("__c")).select(*bars.columns, name)
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.panel import U, clip, div
+from barloom.functions.panel import clip, div, so_far
 from barloom.functions.recurrence import ewm, per_symbol
 from barloom.operators import technical as tech
 
@@ -82,7 +82,7 @@ def apply_stops(bars: DataFrame, position: str = "position", *, atr_mult: float
 
 def drawdown_throttle(frame: DataFrame, equity: str = "close", position: str = "position", warn: float = 0.1, halt: float = 0.2, scale: float = 0.5) -> DataFrame:
     """``throttled``: the position times ``scale`` from a drawdown of ``warn`` on, 0 from ``halt`` on."""
-    drawdown = F.coalesce(div(F.col(equity), F.max(equity).over(U)) - 1, F.lit(0.0))
+    drawdown = F.coalesce(div(F.col(equity), F.max(equity).over(so_far())) - 1, F.lit(0.0))
     factor = F.when(drawdown <= -halt, 0.0).when(drawdown <= -warn, scale).otherwise(1.0)
     return frame.withColumn("throttled", clip(F.col(position) * factor, 0.0, 1.0))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.panel import U, div, holds, lag, over_full, rows
+from barloom.functions.panel import div, holds, lag, over_full, rows, so_far
 from barloom.functions.recurrence import ewm, per_symbol, span
 
 YEAR = 252
@@ -69,7 +69,7 @@ def realised_vol(bars: DataFrame, period: int = 20, annualise: bool = True) -> D
 
 def obv(bars: DataFrame) -> DataFrame:
     out = bars.withColumn("__flow", F.coalesce(F.signum(F.col("close") - lag("close")), F.lit(0.0)) * F.col("volume"))
-    return out.withColumn("obv", F.sum("__flow").over(U)).drop("__flow")
+    return out.withColumn("obv", F.sum("__flow").over(so_far())).drop("__flow")
 
 
 def volume_ratio(bars: DataFrame, period: int = 5) -> DataFrame:
