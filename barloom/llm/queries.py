@@ -23,7 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
-    "op2_token_counts": tokencounts.op2_token_counts,
     "op3_line_dedup": linededup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
 }
