@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def apart(docs: DataFrame, needed: Iterable[str], operator: Callable[[DataFrame], DataFrame], more: tuple[str, ...] = ()) -> DataFrame:
+    """``operator`` on ``docs`` whose other columns have names that clash with none of its own.
+
+    The columns of ``docs`` come back under their names, then ``more`` that the
+    operator made; a column of ``docs`` named like one of these is replaced.
+    """
+    docs = docs.drop(*more)
+    names = [c if c in set(needed) else f"__own{k}" for k, c in enumerate(docs.columns)]
+    out = operator(docs.toDF(*names))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), *more)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -15,7 +15,7 @@ line is in a third of all documents.
 Defined results: a null text is one empty line; a null id is a document of its
 own, smaller than every other; rows that share an id count as one document;
 empty tables give empty results; other columns pass through unless their names
-begin with ``__``.
+begin with ``__`` or are those of the counts, which replace them.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ exactly at the source's budget.
 Defined results: a null size counts 0 and takes nothing; a null source is a
 source of its own and comes last; rows with equal ids keep apart (equal keys are
 ordered by size and then by ``tie``); an empty table gives an empty mix; columns
-besides the named ones pass through unless their names begin with ``__mix``.
+besides the named ones pass through, those named like a column of the result
+replaced (``mixed_documents`` keeps them).
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, materialise, read_documents, word_count
+from barloom.llm.common import WORD, apart, materialise, read_documents, word_count
 
 KEY_DIGITS = 3  # hex digits of the key that name its interval: 4096 intervals a source
+RESULT = ("source_size", "target", "taken", "full_epochs", "cut")
 
 
 def hash_key(id_column: str, seed: int) -> Column:
@@ -60,6 +62,11 @@ def mix(rows: DataFrame, *, id_column: str = "doc_id", source: str = "source", s
     ``full_epochs`` whole copies of the row enter the mix, and ``cut`` of its
     words once more where the budget ends inside it or beyond it.
     """
+    needed = [c for c in (id_column, source, size, tie) if c]
+    return apart(rows, needed, lambda own: _mixed(own, id_column, source, size, tie, weights, share, max_epochs, seed), RESULT)
+
+
+def _mixed(rows: DataFrame, id_column: str, source: str, size: str, tie: str | None, weights: tuple[int, ...], share: float, max_epochs: float, seed: int) -> DataFrame:
     targets = source_targets(rows.select(source, size), source, size, weights, share, max_epochs)
     keyed = rows.withColumn("__mix_key", source_key(source)).withColumn("__mix_hash", hash_key(id_column, seed)).withColumn("__mix_part", F.conv(F.substring("__mix_hash", 1, KEY_DIGITS), 16, 10).cast("int"))
     words = F.coalesce(F.col(size), F.lit(0)).cast("long")
@@ -73,7 +80,7 @@ def mix(rows: DataFrame, *, id_column: str = "doc_id", source: str = "source", s
     out = out.withColumn("full_epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.when(F.col("source_size") > 0, F.col("source_size")))).otherwise(0).cast("long"))
     rest = budget - F.col("full_epochs") * F.col("source_size") - F.col("__mix_before")
     out = out.withColumn("cut", F.greatest(F.lit(0), F.least(rest, words)).cast("long")).withColumn("taken", (F.col("full_epochs") * words + F.col("cut")).cast("long"))
-    return out.select(*rows.columns, "source_size", "target", "taken", "full_epochs", "cut")
+    return out.select(*rows.columns, *RESULT)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -82,6 +89,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document that the budget cuts keeps its first ``cut`` words and the
     separators between them in its last copy; one without words never enters.
     """
+    return apart(docs, ("doc_id", "source", "text", "n_chars"), lambda own: _copies(own, options))
+
+
+def _copies(docs: DataFrame, options: dict) -> DataFrame:
     sized = docs.withColumn("__size", word_count()).withColumn("__tie", F.xxhash64("text"))
     mixed = mix(sized, size="__size", tie="__tie", **options)
     partial = (F.col("cut") > 0) & (F.col("cut") < F.col("__size"))

@@ -17,7 +17,8 @@ the fixed rules hold.
 
 Defined results: a null text has no words and fails; null languages and sources
 are groups of their own; repeated rows count as often as they occur; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through, those named like a
+statistic or a verdict replaced (``good_documents`` keeps them).
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import materialise, read_documents
+from barloom.llm.common import apart, materialise, read_documents
 
 CORE = 0.75  # share of a group that the estimate is made from
 STEPS = 3
@@ -161,6 +162,11 @@ def _moments(core: DataFrame) -> DataFrame:
 
 def robust_verdicts(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``rows`` of :func:`with_statistics` with ``distance`` and ``kept``."""
+    needed = (lang, source, "base_failed", *(f"__f_{c}" for c in FEATURES))
+    return apart(rows, needed, lambda own: _judged(own, lang, source), ("distance", "kept"))
+
+
+def _judged(rows: DataFrame, lang: str, source: str) -> DataFrame:
     rows = materialise(_grouped(rows, lang, source), "quality-rows")
     sure = rows.filter(~F.col("base_failed") & F.col("__g").isNotNull()).select("__g", *(f"__f_{c}" for c in FEATURES))
     params = materialise(_inverted(_start(sure)), "quality-start")
@@ -178,9 +184,9 @@ def robust_verdicts(rows: DataFrame, lang: str = "lang", source: str = "source")
     return judged.withColumn("kept", kept).select(*rows.columns, "distance", "kept")
 
 
-def good_documents(docs: DataFrame, **options) -> DataFrame:
+def good_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return robust_verdicts(with_statistics(docs, keep_text=True), **options).filter("kept").select(*docs.columns)
+    return apart(docs, (text, lang, source), lambda own: robust_verdicts(with_statistics(own, text, keep_text=True), lang, source).filter("kept"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

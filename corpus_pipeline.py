@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.bpe import round_trip
-from barloom.llm.common import materialise, read_documents
+from barloom.llm.common import apart, materialise, read_documents
 from barloom.llm.linededup import without_common_lines
 from barloom.llm.mixing import mixed_documents
 from barloom.llm.quality import good_documents
@@ -25,9 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lost lines get a new n_chars."""
-    kept = without_common_lines(docs)
     changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", changed).select(*docs.columns)
+    return apart(docs, ("doc_id", "text", "n_chars"), lambda own: without_common_lines(own).withColumn("n_chars", changed))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
