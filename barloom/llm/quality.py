@@ -12,8 +12,8 @@ those rows give the next estimate.  Both are combined before the shuffle, so a
 group with a third of all rows costs no task more than another.  A small ridge
 (the square of ``FLOOR``) keeps statistics that hardly vary from rejecting
 everything that does.  Sources with fewer than ``LEAST`` texts of a language are
-pooled by language, and pooled again over all; where even that is too few only
-the fixed rules hold.
+judged by all texts of the language, and where these are too few by all texts of
+the table, however few: every text that passes the fixed rules has a distance.
 
 Defined results: a null text has no words and fails; null languages and sources
 are groups of their own; repeated rows count as often as they occur; an empty
@@ -98,18 +98,19 @@ def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False
 
 
 def _grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """``rows`` with the group ``__g`` that judges them (null: none is large enough)."""
+    """``rows`` with the group ``__g`` that judges them and the groups ``__in`` whose estimates they are part of."""
     sure = F.when(~F.col("base_failed"), 1)
-    own = rows.groupBy(F.col(lang).alias("__lang"), F.col(source).alias("__source")).agg(F.count(sure).alias("__n"))
-    by_lang = Window.partitionBy("__lang")
-    small = F.when(F.col("__n") < LEAST, F.col("__n")).otherwise(0)
-    own = own.withColumn("__l", F.sum(small).over(by_lang))
-    rest = F.when((F.col("__n") < LEAST) & (F.col("__l") < LEAST), F.col("__n")).otherwise(0)
-    own = own.withColumn("__all", F.sum(rest).over(Window.partitionBy()))
+    own = materialise(rows.groupBy(F.col(lang).alias("__lang"), F.col(source).alias("__source")).agg(F.count(sure).alias("__n")), "quality-groups")
+    n = own.count()
+    langs = own.groupBy(F.col("__lang").alias("__of")).agg(F.sum("__n").alias("__l"), F.max(F.col("__n") < LEAST).alias("__asked"))
+    whole = langs.agg(F.max(F.col("__l") < LEAST).alias("__all"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    group = F.when(F.col("__n") >= LEAST, F.concat_ws("\t", F.lit("source"), name("__lang"), name("__source"))).when(F.col("__l") >= LEAST, F.concat_ws("\t", F.lit("lang"), name("__lang"))).when(F.col("__all") >= LEAST, F.lit("all"))
-    groups = materialise(own.select("__lang", "__source", group.alias("__g")), "quality-groups")
-    joined = _small(groups, groups.count())
+    by_source, by_lang, by_all = F.concat_ws("\t", F.lit("source"), name("__lang"), name("__source")), F.concat_ws("\t", F.lit("lang"), name("__lang")), F.lit("all")
+    large, enough = F.col("__n") >= LEAST, F.col("__l") >= LEAST
+    judge = F.when(large, by_source).when(enough, by_lang).otherwise(by_all)
+    part = F.array_compact(F.array(F.when(large, by_source), F.when(enough & F.col("__asked"), by_lang), F.when(F.col("__all"), by_all)))
+    placed = own.join(_small(langs, n), F.col("__lang").eqNullSafe(F.col("__of"))).crossJoin(F.broadcast(whole))  # one row
+    joined = _small(materialise(placed.select("__lang", "__source", judge.alias("__g"), part.alias("__in")), "quality-groups"), n)
     return rows.join(joined, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
 
 
@@ -168,7 +169,7 @@ def robust_verdicts(rows: DataFrame, lang: str = "lang", source: str = "source")
 
 def _judged(rows: DataFrame, lang: str, source: str) -> DataFrame:
     rows = materialise(_grouped(rows, lang, source), "quality-rows")
-    sure = rows.filter(~F.col("base_failed") & F.col("__g").isNotNull()).select("__g", *(f"__f_{c}" for c in FEATURES))
+    sure = rows.filter(~F.col("base_failed")).select(F.explode("__in").alias("__g"), *(f"__f_{c}" for c in FEATURES))
     params = materialise(_inverted(_start(sure)), "quality-start")
     n = params.count()
     for step in range(STEPS):
@@ -180,7 +181,7 @@ def _judged(rows: DataFrame, lang: str, source: str) -> DataFrame:
     middle = _quantile(measured, 0.5).select("__g", F.greatest(F.lit(1.0), F.col("edge") / CHI_MEDIAN).alias("__wide"))
     params = materialise(params.drop("scale").join(middle, "__g"), "quality-final")
     judged = rows.join(_small(params, n), "__g", "left").withColumn("distance", _distance() / F.col("__wide"))
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= LIMIT)
+    kept = ~F.col("base_failed") & ((F.col("distance") <= LIMIT))
     return judged.withColumn("kept", kept).select(*rows.columns, "distance", "kept")
 
 

@@ -161,6 +161,22 @@ def test_quality_rejects_planted_outliers(spark):
     assert kept == set(range(300))
 
 
+@pytest.mark.parametrize("few", ["source", "language", "table"])
+def test_quality_judges_small_groups(spark, few):
+    """Texts of a rare source, of a rare language and of a table under LEAST rows are judged as well."""
+    from barloom.llm.quality import robust_verdicts, with_statistics
+
+    rng = random.Random(4)
+    clean = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(rng.randint(60, 200))) for _ in range(30 if few == "table" else 200)]
+    junk = " ".join(f"{'#' * rng.randint(3, 9)}{k}ABC" for k in range(80))
+    place = {"source": ("en", "rare"), "language": (None, None), "table": ("en", "s")}[few]
+    rows = [(k, t, "en", "s") for k, t in enumerate(clean)] + [(-1, junk, *place), (-2, clean[0], *place)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = robust_verdicts(with_statistics(docs)).collect()
+    assert len(got) == len(rows) and all(r.distance is not None for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {-1}
+
+
 def test_warc(found, folder):
     pages = pq.read_table(f"{folder}/pages.parquet").to_pylist()
     payload = {p["page_id"]: (p["html"] or "").encode() for p in pages}
