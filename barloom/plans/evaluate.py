@@ -174,22 +174,28 @@ def evaluate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(rounded(c).alias(c) for c in ("ic_mean", "pearson_ic_mean", "long_short")), "monotonic", "verdict")
 
 
+ALL = alpha.feature_names()
+#: The features of the queries whose SQL is fixed; the ``_all`` queries take every feature.
 SCANNED = ["KMID", "KLEN", "KSFT", "ROC5", "ROC20", "MA10", "STD10", "BETA20", "RSQR10", "RSV20", "CORR10", "CNTP10", "SUMP20", "VMA10", "VSTD20", "WVMA10", "VSUMD20", "RANK10"]
-_MATRIX = f"""{_PREPARED}, feat AS (SELECT symbol, date, {", ".join(f"{FEATURE_SQL[n]} AS {n}" for n in SCANNED)}, {led("close", 5)} / close - 1 AS label FROM q),
-full_rows AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM feat WHERE {" AND ".join(f"{n} IS NOT NULL" for n in [*SCANNED, "label"])}),
+def matrix_sql(names: list[str]) -> str:
+    return f"""{_PREPARED}, feat AS (SELECT symbol, date, {", ".join(f"{FEATURE_SQL[n]} AS {n}" for n in names)}, {led("close", 5)} / close - 1 AS label FROM q),
+full_rows AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM feat WHERE {" AND ".join(f"{n} IS NOT NULL" for n in [*names, "label"])}),
 lr AS (SELECT *, {_ranked("label", "date")} AS rl FROM full_rows WHERE n >= 5),
-lg AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, date, rl, {n} AS x FROM lr" for n in SCANNED)}),
+lg AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, date, rl, {n} AS x FROM lr" for n in names)}),
 rx AS (SELECT *, {_ranked("x", "feature, date")} AS rx FROM lg), icm AS (SELECT feature, date, {corr_sql("rx", "rl")} AS ic FROM rx GROUP BY 1, 2)"""
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+_MATRIX = matrix_sql(SCANNED)
+
+
+def _features(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     bars = brand_week_bars(spark, sf_dir)
-    return alpha.panel(bars, names=SCANNED).join(alpha.forward_return(bars), ["symbol", "date"])
+    return alpha.panel(bars, names=names).join(alpha.forward_return(bars), ["symbol", "date"])
 
 
 @query("ic_matrix", f"WITH {WEEK}, {_MATRIX} SELECT feature, date, {r('ic')} AS ic FROM icm")
 def ic_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(evaluate.ic_matrix(_features(spark, sf_dir), SCANNED), "ic", keys=("feature", "date"))
+    return shown(evaluate.ic_matrix(_features(spark, sf_dir, SCANNED), SCANNED), "ic", keys=("feature", "date"))
 
 
 @query(
@@ -197,14 +203,27 @@ def ic_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {WEEK}, {_MATRIX}, s AS (SELECT * FROM {summary_sql('icm', 'feature')}) SELECT feature, n_days, {', '.join(f'{r(c)} AS {c}' for c in ('ic_mean', 'icir', 't_stat', 't_stat_nw', 'ic_win_rate'))} FROM s ORDER BY abs(ic_mean) DESC, feature LIMIT 8",
 )
 def factor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(evaluate.factor_scan(_features(spark, sf_dir), SCANNED, top=8), "ic_mean", "icir", "t_stat", "t_stat_nw", "ic_win_rate", keys=("feature", "n_days"))
+    return shown(evaluate.factor_scan(_features(spark, sf_dir, SCANNED), SCANNED, top=8), "ic_mean", "icir", "t_stat", "t_stat_nw", "ic_win_rate", keys=("feature", "n_days"))
+
+
+@query("ic_matrix_all")
+def ic_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ic_matrix of all features."""
+    return shown(evaluate.ic_matrix(_features(spark, sf_dir, ALL), ALL), "ic", keys=("feature", "date"))
+
+
+@query("factor_scan_all")
+def factor_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 features of largest mean coefficient among all, on the test part."""
+    test = cs.purged_split(_features(spark, sf_dir, ALL).dropna(subset=["label"]), embargo=5).filter("split = 'test'")
+    return shown(evaluate.factor_scan(test, ALL, top=15), "ic_mean", "icir", "t_stat", "t_stat_nw", "ic_win_rate", keys=("feature", "n_days"))
 
 
 @query("baseline_composite")
 def baseline_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors chosen on the validation part, signed, averaged as ranks and judged on the test part."""
-    panel = cs.purged_split(_features(spark, sf_dir), embargo=5)
-    means = evaluate.ic_matrix(panel.filter("split = 'valid'"), SCANNED).groupBy("feature").agg(F.avg("ic").alias("m"))
+    panel = cs.purged_split(_features(spark, sf_dir, ALL).dropna(subset=["label"]), embargo=5)
+    means = evaluate.ic_matrix(panel.filter("split = 'valid'"), ALL).groupBy("feature").agg(F.avg("ic").alias("m"))
     chosen = means.orderBy(F.abs("m").desc(), "feature").limit(5).select("feature", F.when(F.col("m") >= 0, 1.0).otherwise(-1.0).alias("sign"))
     test = evaluate.composite(panel.filter("split = 'test'"), chosen)
     return evaluate.verdict(evaluate.evaluate(test, horizon=5)).select("ic_mean", "icir", "t_stat_nw", "long_short", "n_days", "verdict")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.panel import div, lag
 from barloom.operators import evaluate, ml
 from barloom.operators import signals as sig
-from barloom.plans.evaluate import PANEL, SCANNED, _features, _panel
+from barloom.plans.evaluate import ALL, PANEL, _features, _panel
 from barloom.plans.registry import WEEK, events_sql, full, lagged, query, r, rounded, shown
 from barloom.sources import bars as src
 from barloom.sources import payloads
@@ -101,6 +101,13 @@ def trend_wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("date", *(rounded(F.col(f"`{n}`")).alias(f"b{n[6:]}") for n in names))
 
 
+@query("trend_wide_all")
+def trend_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trend_wide_pivot of every symbol of the data."""
+    wide = src.brand_week_bars(spark, sf_dir).groupBy("date").pivot("symbol").agg(F.max("close"))
+    return wide.select("date", *(rounded(F.col(f"`{n}`")).alias(f"b{n.removeprefix('Brand#')}") for n in wide.columns[1:]))
+
+
 @query("ml_signal")
 def ml_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.quantile_zone(_panel(spark, sf_dir), "pred").select("symbol", "date", "signal")
@@ -109,8 +116,8 @@ def ml_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gbdt_train")
 def gbdt_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rank coefficients of boosted trees on the test dates."""
-    panel = _features(spark, sf_dir).withColumn("label", F.percent_rank().over(_day()) - 0.5)
-    scored = ml.train_gbt(panel, SCANNED, maxIter=5, maxDepth=3)
+    panel = _features(spark, sf_dir, ALL).withColumn("label", F.percent_rank().over(_day()) - 0.5)
+    scored = ml.train_gbt(panel, ALL, maxIter=5, maxDepth=3)
     return shown(evaluate.daily_ic(scored.filter("split = 'test'")), "ic", keys=("date",))
 
 
