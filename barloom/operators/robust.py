@@ -104,7 +104,7 @@ def walk_forward(bars: DataFrame, strategy: Strategy, splits: int = 5, train: in
     return parts.groupBy("symbol", "fold").agg((F.try_divide(F.max_by("equity", "date"), F.min_by("equity", "date")) - 1).alias("total_return"), F.count(F.lit(1)).alias("num_bars"))
 
 
-def random_benchmark(bars: DataFrame, strategy: Strategy, trials: int = 20, metric: str = "sharpe", seed: int = 42, costs: CostModel | None = None) -> DataFrame:
+def random_benchmark(bars: DataFrame, strategy: Strategy, trials: int = 200, metric: str = "sharpe", seed: int = 42, costs: CostModel | None = None) -> DataFrame:
     """(symbol, actual, percentile, p_value) against ``trials`` runs that enter and leave at random as often as the strategy does.
 
     The chance of a bar is a hash of seed, trial, symbol and date, so reruns agree

@@ -117,7 +117,7 @@ def ml_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gbdt_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rank coefficients of boosted trees on the test dates."""
     panel = _features(spark, sf_dir, ALL).withColumn("label", F.percent_rank().over(_day()) - 0.5)
-    scored = ml.train_gbt(panel, ALL, maxIter=5, maxDepth=3)
+    scored = ml.train_gbt(panel, ALL)
     return shown(evaluate.daily_ic(scored.filter("split = 'test'")), "ic", keys=("date",))
 
 

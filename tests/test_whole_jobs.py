@@ -75,3 +75,23 @@ def test_trees_see_all_features(spark, monkeypatch):
     monkeypatch.setattr(ml, "train_gbt", stop)
     with pytest.raises(Enough):
         plans.QUERIES["gbdt_train"](spark, SF)
+
+
+def test_random_benchmark_has_200_trials(spark):
+    rows = plans.QUERIES["random_benchmark"](spark, "/root/testdata/sf0.001").collect()
+    assert all(abs(x.p_value * 201 - round(x.p_value * 201)) < 1e-3 for x in rows)
+    assert any(x.percentile % 5 for x in rows)
+
+
+def test_trees_have_the_operators_own_parameters(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    def stop(panel, features, **parameters):
+        assert not {"maxIter", "maxDepth"} & set(parameters)
+        raise Enough
+
+    monkeypatch.setattr(ml, "train_gbt", stop)
+    with pytest.raises(Enough):
+        plans.QUERIES["gbdt_train"](spark, SF)
+    assert ml.scaled_parameters(400_000)["maxIter"] == 40 and ml.scaled_parameters(400_000)["maxDepth"] == 5
