@@ -98,14 +98,15 @@ class TokenRollup:
         if rows is not None:
             first = Window.partitionBy("doc_id", "tokenizer").orderBy(F.col("tokens").desc_nulls_last(), "source", "lang")
             new = rows.select("doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-            new = new.withColumn("turn", F.row_number().over(first)).filter("turn = 1").drop("turn")
-            delta = delta.union(new)
+            nameless, named = new.filter("doc_id is null"), new.filter("doc_id is not null")  # rows without an id are documents of their own
+            named = named.withColumn("turn", F.row_number().over(first)).filter("turn = 1").drop("turn")
+            delta = delta.union(named).union(nameless)
             if have:
-                delta = delta.union(self._less(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"]))
+                delta = delta.union(self._less(named.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"]))
         if deletes is not None and have:
             gone = deletes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
             if rows is not None:  # a document that is both deleted and inserted is revised
-                gone = gone.join(rows.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+                gone = gone.join(rows.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_anti")
             delta = delta.union(self._less(gone, ["doc_id"]))
         delta.write.mode("overwrite").parquet(self._folder(batch))
         return True

@@ -136,6 +136,18 @@ def test_rollup_deltas(spark, tmp_path):
     assert log.apply("three", rows((1, "c", "en", "t", 9))) and total()["c", "en"] == (1, 9)
 
 
+def test_rollup_counts_each_row_without_an_id(spark, tmp_path):
+    log = tokencounts.TokenRollup(spark, str(tmp_path / "log"))
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, source string, lang string, tokenizer string, tokens long")
+    total = lambda: {(r.source, r.docs, r.tokens) for r in log.totals().collect()}
+    assert log.apply("one", rows((None, "a", "en", "t", 4), (None, "a", "en", "t", 4), (None, "b", "en", "t", 7), (1, "a", "en", "t", 1), (1, "a", "en", "t", 1)))
+    assert total() == {("a", 3, 9), ("b", 1, 7)}
+    assert log.apply("two", rows((None, "a", "en", "t", 2)))
+    assert total() == {("a", 4, 11), ("b", 1, 7)}
+    assert log.apply("three", rows((None, "c", "en", "t", 5)), spark.createDataFrame([(None,)], "doc_id long"))
+    assert total() == {("a", 1, 1), ("c", 1, 5)}
+
+
 def test_byte_bpe(found, texts):
     enc = brute.tokenizer()
     for i, r in found("op4_byte_bpe").items():
