@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _LOCAL: list[str] = []
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -46,10 +47,27 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return back
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write ``df`` to the shared folder as a table bucketed and sorted by ``keys``; joins on them need no exchange of it.
+
+    It has as many buckets as the session has shuffle partitions.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(table)
+    back = spark.table(table)
+    _WRITTEN[back], _TABLES[back] = path, table
+    return back
+
+
 def discard(*frames: DataFrame) -> None:
-    """Delete what :func:`materialise` wrote for these frames; nothing may read them any more."""
+    """Delete what :func:`materialise` or :func:`bucketed` wrote for these frames; nothing may read them any more."""
     for frame in frames:
         spark, path = frame.sparkSession, _WRITTEN.pop(frame)
+        if table := _TABLES.pop(frame, None):
+            spark.sql(f"DROP TABLE {table}")
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 

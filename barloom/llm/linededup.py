@@ -1,21 +1,27 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Runs hold, for each 128-bit line hash, in how many documents a batch had it and
-the largest id of those.  A new batch is merge-anti-joined with the runs to
-tell its unseen lines from those it repeats, and adds a sorted run of its own at
-level 0; ``FANOUT`` runs of one level are merged into one of the next.  Counts
-add up and ids take the maximum, so batches can come in any order as long as
-all rows of a document come in the same one.  Lines found in enough documents
-are then dropped everywhere but in the largest id that holds them.
+Documents come in batches by descending id, so that the first of a line to come
+is the one that stays.  A new batch is merge-anti-joined with the runs in one
+pass: a left outer merge join whose unmatched rows are the lines no run has.  An
+unseen line enters the batch's run with its ``keeper``, the largest id that
+holds it; one seen before enters as an increment of its document count, without
+a keeper.  Every run is a table bucketed and sorted by the 128-bit line hash,
+with as many buckets as the session has shuffle partitions, so that neither the
+anti-joins nor the merging of runs exchanges a run again.  ``FANOUT`` runs of
+one level are merged into one of the next, counts added up, and the superseded
+ones deleted.  Lines found in enough documents are then dropped everywhere but in
+their keeper.
 
 Everything runs as DataFrame expressions.  Counts are combined before the
-shuffle, and the join that marks occurrences is one that Spark splits where a
-line is in a third of all documents.
+shuffle, and the joins that mark occurrences and bring them back to the texts are
+sort-merge joins of two exchanges at every size, which Spark splits where a line
+is in a third of all documents.
 
 Defined results: a null text is one empty line; a null id is a document of its
 own, smaller than every other; rows that share an id count as one document;
-empty tables give empty results; other columns pass through unless their names
-begin with ``__`` or are those of the counts, which replace them.
+empty tables give empty results; ids that are not numbers come in one batch;
+other columns pass through unless their names begin with ``__`` or are those of
+the counts, which replace them.
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.common import materialise, read_documents, whole_text
+from barloom.llm.common import bucketed, discard, materialise, read_documents, whole_text
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -59,64 +66,84 @@ def line_hashes(docs: DataFrame, id_column: str, text: str, min_chars: int = MIN
 
 
 class LineRuns:
-    """The levelled runs: (h1, h2, n_docs, last_id, unseen), each a sorted table in the shared folder."""
+    """The levelled runs: (h1, h2, n_docs, keeper), each a bucketed and sorted table in the shared folder."""
 
     def __init__(self, fanout: int = FANOUT):
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
 
-    def table(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return reduce(DataFrame.union, runs) if runs else None
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Add the lines (id, h1, h2) of a batch; returns its run, whose ``unseen`` rows no earlier run has."""
-        new = batch.select("id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id"))
-        old = self.table()
-        if old is None:
-            run = new.withColumn("unseen", F.lit(True))
-        else:
-            new, seen = materialise(new, "line-batch"), old.select(*KEY)
-            run = new.hint("merge").join(seen, KEY, "left_anti").withColumn("unseen", F.lit(True))
-            run = run.union(new.hint("merge").join(seen, KEY, "left_semi").withColumn("unseen", F.lit(False)))
-        run = materialise(run.sortWithinPartitions(*KEY), "line-run")
-        self._push(0, run)
-        return run
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def add(self, batch: DataFrame) -> None:
+        """Add the lines (id, h1, h2) of a batch, whose ids are all below those of earlier batches."""
+        found = batch.select("id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id"))
+        unseen = F.lit(True)
+        for k, run in enumerate(self.runs()):
+            found = found.join(run.select(*KEY, F.col("n_docs").alias(f"seen{k}")).hint("merge"), KEY, "left")
+            unseen = unseen & F.col(f"seen{k}").isNull()
+        self._push(0, bucketed(found.select(*KEY, "n_docs", unseen.alias("first"), F.when(unseen, F.col("last_id")).alias("keeper")), "line-run", KEY))
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._merged(reduce(DataFrame.union, self.levels[level])).sortWithinPartitions(*KEY)
-            self.levels[level] = []
-            self._push(level + 1, materialise(merged, "line-run"))
+            old, self.levels[level] = self.levels[level], []
+            merged = bucketed(self._merged(old), "line-run", KEY)
+            discard(*old)
+            self._push(level + 1, merged)
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.max("unseen").alias("unseen"))
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """Runs merged by full outer merge joins of their buckets: counts add up, the one keeper stays."""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.select(*KEY, F.col("n_docs").alias("more"), F.col("first").alias("first_b"), F.col("keeper").alias("keeper_b"))
+            both = a.join(b.hint("merge"), KEY, "full")
+            n_docs = (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs")
+            return both.select(*KEY, n_docs, (F.coalesce("first", F.lit(False)) | F.coalesce("first_b", F.lit(False))).alias("first"), F.when(F.col("first"), F.col("keeper")).otherwise(F.col("keeper_b")).alias("keeper"))
+
+        return reduce(two, runs)
 
     def common(self, min_docs: int = MIN_DOCS) -> DataFrame | None:
-        """(h1, h2, last_id) of the lines in at least ``min_docs`` documents."""
-        runs = self.table()
-        return None if runs is None else self._merged(runs).filter(F.col("n_docs") >= min_docs).select(*KEY, "last_id")
+        """(h1, h2, keeper) of the lines in at least ``min_docs`` documents."""
+        return self._merged(self.runs()).filter(F.col("n_docs") >= min_docs).select(*KEY, "keeper") if self.runs() else None
+
+    def delete(self) -> None:
+        discard(*self.runs())
+        self.levels = []
+
+
+def _batches(docs: DataFrame, id_column: str, batches: int) -> tuple[Column, int]:
+    """The batch of a row's ``id``, by descending ids with nulls last, and how many batches there are."""
+    if batches < 2 or not isinstance(docs.schema[id_column].dataType, T.NumericType):
+        return F.lit(0), 1
+    cuts = docs.select(F.percentile_approx(id_column, [k / batches for k in range(1, batches)], 1000)).first()[0]
+    cuts = sorted(set(cuts or []))
+    below = [F.when(F.col("id") > F.lit(c), 0).otherwise(1) for c in cuts]
+    return reduce(Column.__add__, below, F.lit(0)), len(cuts) + 1
 
 
 def dropped_positions(docs: DataFrame, id_column: str = "doc_id", text: str = "text", batches: int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, text_hash, positions): the lines, counted from 0, that each text loses; texts that lose none are absent."""
-    batch = F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch")
-    lines = materialise(line_hashes(docs, id_column, text, min_chars).select("*", batch), "lines", ["batch"])
+    batch, n = _batches(docs, id_column, batches)
+    lines = materialise(line_hashes(docs, id_column, text, min_chars).select("*", batch.cast("int").alias("batch")), "lines", ["batch"])
     runs = LineRuns()
-    for k in range(batches):
+    for k in range(n):
         runs.add(lines.filter(F.col("batch") == k))
-    marked = lines.join(runs.common(min_docs), KEY).filter(~F.col("id").eqNullSafe(F.col("last_id")))
-    return marked.groupBy("id", "text_hash").agg(F.collect_list("pos").alias("positions"))
+    common = materialise(runs.common(min_docs), "common-lines")
+    runs.delete()
+    marked = lines.select("id", "text_hash", "pos", *KEY).join(common.hint("merge"), KEY).filter(~F.col("id").eqNullSafe(F.col("keeper")))
+    drops = materialise(marked.groupBy("id", "text_hash").agg(F.collect_list("pos").alias("positions")), "line-drops")
+    discard(lines, common)
+    return drops
 
 
 def without_common_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with the new ``text``, n_lines (before) and n_dropped."""
-    drops = materialise(dropped_positions(docs, id_column, text, **options), "line-drops")
-    drops = drops.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("positions").alias("__drop"))
+    drops = dropped_positions(docs, id_column, text, **options)
+    drops = drops.hint("merge").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("positions").alias("__drop"))
     rows = docs.withColumn("__text_hash", F.xxhash64(whole_text(text)))
     joined = rows.join(drops, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     joined = joined.withColumn("__lines", lines_of(text)).withColumn("n_lines", F.size("__lines").cast("long"))
