@@ -4,10 +4,12 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers; those
 spans always stay.  Beside them, high-recall generators propose further spans
 (secrets, national ids, phone numbers without a country code, written-out
 addresses), which may overlap each other and the base spans.  A proposal is
-described by format and context features; boosted trees are trained on seed
-labels (rules that are sure either way), and for each generator the lowest
-threshold whose spans reach the wanted precision on the seed labels selects
-what is added, unless a base span overlaps it.
+described by format and context features.  Seed labels (rules that are sure
+either way) are dealt into two folds by the proposed text, so no text is in
+both: boosted trees are trained on the one, and on the other their scores are
+calibrated by isotonic regression.  For each generator the lowest threshold
+whose held-out spans reach the wanted precision selects what is added, unless a
+base span overlaps it; a generator without held-out seeds adds nothing.
 
 Everything is DataFrame expressions.  All features are yes or no, so a proposal
 is one of ``2 ** len(FEATURES)`` patterns of its generator: the corpus is
@@ -16,18 +18,20 @@ trees are trained on it with weights, and the patterns selected go back as a
 list of numbers.
 
 Offsets come from matching ``(gap)(pattern)`` again and again, as a search
-goes on from the end of each match, and adding up code points.  Groups in the
-patterns are possessive wherever that changes no match, so that long texts need
+goes on from the end of each match, and adding up code points: running sums over
+blocks of ``BLOCK`` matches and then inside a block.  Groups in the patterns are possessive wherever that changes no match, so that long texts need
 no backtracking.
 
 Defined results: a null or empty text has no spans (counts 0, the digest of
 nothing, an empty string); rows are independent, so repeated rows agree and
 ties in start are ordered by kind; an empty table gives an empty result; other
-columns pass through unless their names begin with ``__``.
+columns pass through, those named ``base`` or ``spans`` replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +85,23 @@ PRECISION = 0.9
 ROUNDS = 8
 DEPTH = 3
 SPAN = "struct<s:int,k:int,e:int>"
+BLOCK_BITS = 6
+BLOCK = 1 << BLOCK_BITS
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
+
+
+def _block_starts(lengths: Column) -> Column:
+    """The sum of the lengths before each block of them."""
+    blocks = F.sequence(F.lit(0), F.shiftright(F.size(lengths) - 1, BLOCK_BITS))
+    return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))))
 
 
 def _located(frame: DataFrame, name: str, pattern: str, needs: str) -> DataFrame:
@@ -91,13 +112,17 @@ def _located(frame: DataFrame, name: str, pattern: str, needs: str) -> DataFrame
     gaps, found = (F.regexp_extract_all("__t", F.lit(pairs), F.lit(k)) for k in (1, 2))
     empty = F.array().cast("array<struct<s:int,e:int,m:string,ctx:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["found"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT)).alias("ctx")))).alias("found"))
+    def located(pieces: Column, lengths: Column, bases: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            block = F.shiftright(i, BLOCK_BITS)
+            s = F.get(bases, block) + _sum(F.slice(lengths, block * BLOCK + 1, i.bitwiseAND(BLOCK - 1))) + F.length(x["g"])
+            return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT)).alias("ctx"))
+
+        return F.transform(pieces, span)
 
     pieces = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    lengths = lambda p: F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"]))
+    spans = _once(pieces, lambda p: _once(lengths(p), lambda n: _once(_block_starts(n), lambda bases: located(p, n, bases))))
     return frame.withColumn("__hit", hit).withColumn(name, F.when(F.col("__hit"), spans).otherwise(empty)).drop("__hit")
 
 
@@ -126,13 +151,14 @@ def _base_spans(k: int, kind: str) -> Column:
 def _proposals(k: int, kind: str) -> Column:
     def described(x: Column) -> Column:
         label = F.when(F.regexp_like(x["m"], F.lit(_NOT[kind])), 0).when(F.regexp_like(x["ctx"], F.lit(_CUE[kind])), 1)
-        return F.struct(x["s"], F.lit(k).alias("k"), x["e"], _pattern(x, k).alias("pattern"), label.alias("label"))
+        fold = F.pmod(F.xxhash64(x["m"]), F.lit(2)).cast("int")
+        return F.struct(x["s"], F.lit(k).alias("k"), x["e"], _pattern(x, k).alias("pattern"), label.alias("label"), fold.alias("fold"))
 
     return F.transform(f"__{kind}", described)
 
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``base`` array<struct(s, k, e)> and ``proposed`` array<struct(s, k, e, pattern, label)>; k numbers KINDS."""
+    """``docs`` without the text, with ``base`` array<struct(s, k, e)> and ``proposed`` array<struct(s, k, e, pattern, label, fold)>; k numbers KINDS."""
     frame = docs.withColumn("__t", whole_text(text)).drop(text)
     if "base" in frame.columns or "proposed" in frame.columns:
         frame = frame.drop("base", "proposed")
@@ -144,42 +170,75 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return frame.drop("__t", *(f"__{kind}" for kind in KINDS))
 
 
-def select_patterns(found: DataFrame, precision: float = PRECISION) -> list[int]:
-    """The patterns of proposals to be added.
+def scored_patterns(found: DataFrame) -> list[tuple[int, float, int, int]]:
+    """(pattern, score, held-out yes, held-out no): trees trained on fold 0 of the seed labels, counts of fold 1.
 
     The table of patterns is the whole training set: all seed labels of the
-    corpus, as weights.  Where one label is missing there is nothing to tell
-    apart, and every pattern of a generator whose seeds are all positive is taken.
+    corpus, as weights; its rows are bounded by the features.  Where the training
+    fold has one label only there is nothing to tell apart.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
-    each = found.select(F.explode("proposed").alias("p")).select("p.pattern", "p.label")
-    counted = each.groupBy("pattern").agg(F.count(F.when(F.col("label") == 1, 1)).alias("yes"), F.count(F.when(F.col("label") == 0, 1)).alias("no"))
+    each = found.select(F.explode("proposed").alias("p")).select("p.pattern", "p.label", "p.fold")
+    number = lambda label, fold: F.count(F.when((F.col("label") == label) & (F.col("fold") == fold), 1))
+    counted = each.groupBy("pattern").agg(number(1, 0).alias("yes"), number(0, 0).alias("no"), number(1, 1).alias("held_yes"), number(0, 1).alias("held_no"))
     counted = materialise(counted.coalesce(1).sortWithinPartitions("pattern"), "patterns").coalesce(1)
     names = [f"f{i}" for i in range(len(FEATURES) + 2)]
     bits = counted.select("*", *(F.shiftright("pattern", i).bitwiseAND(1).cast("double").alias(n) for i, n in enumerate(names)))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(bits)
-    labelled = vectors.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("yes").cast("double").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("no").cast("double").alias("weight")))).alias("x")).select("features", "x.*").filter("weight > 0")
+    either = F.array(*(F.struct(F.lit(label).alias("label"), F.col(c).cast("double").alias("weight")) for label, c in ((1.0, "yes"), (0.0, "no"))))
+    labelled = vectors.select("features", F.explode(either).alias("x")).select("features", "x.*").filter("weight > 0")
     seen = counted.agg(F.sum("yes"), F.sum("no")).first()
+    score = F.lit(1.0 if seen[0] else 0.0)
     if seen[0] and seen[1]:
-        model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, weightCol="weight", seed=1, minInstancesPerNode=1).fit(labelled)
-        from pyspark.ml.functions import vector_to_array
-
-        scored = model.transform(vectors).select("pattern", "yes", "no", F.round(vector_to_array("probability")[1], 9).alias("p")).collect()
-    else:
-        scored = counted.select("pattern", "yes", "no", F.lit(1.0 if seen[0] else 0.0).alias("p")).collect()
-    chosen: list[int] = []
-    for kind in {r.pattern >> len(FEATURES) for r in scored}:
-        own = sorted((r for r in scored if r.pattern >> len(FEATURES) == kind), key=lambda r: -r.p)
+        vectors = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, weightCol="weight", seed=1, minInstancesPerNode=1).fit(labelled).transform(vectors)
+        score = F.round(vector_to_array("probability")[1], 9)
+    return [tuple(r) for r in vectors.select("pattern", score, "held_yes", "held_no").collect()]
+
+
+def calibrated(scored: list[tuple[float, int, int]]) -> list[float]:
+    """Isotonic regression: the share of yes foretold for each (score, yes, no), which never rises as the score falls.
+
+    A score without held-out labels takes the share of the next lower one that has some.
+    """
+    order = sorted(range(len(scored)), key=lambda i: -scored[i][0])
+    pools: list[list] = []  # yes, all, members
+    for i in order:
+        _, yes, no = scored[i]
+        tied = pools and scored[pools[-1][2][-1]][0] == scored[i][0]
+        if tied:
+            pools[-1] = [pools[-1][0] + yes, pools[-1][1] + yes + no, pools[-1][2] + [i]]
+        else:
+            pools.append([yes, yes + no, [i]])
+        while len(pools) > 1 and (not pools[-2][1] or pools[-1][1] and pools[-1][0] * pools[-2][1] > pools[-2][0] * pools[-1][1]):
+            low = pools.pop()
+            pools[-1] = [pools[-1][0] + low[0], pools[-1][1] + low[1], pools[-1][2] + low[2]]
+    out = [0.0] * len(scored)
+    for yes, n, members in pools:
+        for i in members:
+            out[i] = yes / n if n else 0.0
+    return out
+
+
+def chosen_patterns(scored: list[tuple[int, float, int, int]], precision: float = PRECISION) -> tuple[list[int], dict[str, tuple[float, float]]]:
+    """The patterns to be added, and (precision, recall) on the held-out seed labels of each generator that has some."""
+    chosen, report = [], {}
+    for k in sorted({x[0] >> len(FEATURES) for x in scored}):
+        own = sorted((x for x in scored if x[0] >> len(FEATURES) == k), key=lambda x: -x[1])
+        share = calibrated([x[1:] for x in own])
         yes = no = 0
-        threshold = None
-        for i, r in enumerate(own):
-            yes, no = yes + r.yes, no + r.no
-            if (i + 1 == len(own) or own[i + 1].p < r.p) and yes >= precision * (yes + no) and yes and r.p >= 0.5:
-                threshold = r.p
-        chosen += [r.pattern for r in own if threshold is not None and r.p >= threshold]
-    return sorted(chosen)
+        taken, right, wrong = 0, 0, 0
+        for i, (_, score, y, n) in enumerate(own):
+            yes, no = yes + y, no + n
+            last = i + 1 == len(own) or own[i + 1][1] < score
+            if last and yes and yes >= precision * (yes + no) and share[i] >= 0.5:
+                taken, right, wrong = i + 1, yes, no
+        chosen += [x[0] for x in own[:taken]]
+        if yes + no:
+            report[KINDS[k]] = right / (right + wrong) if taken else 1.0, right / yes if yes else 1.0
+    return sorted(chosen), report
 
 
 def _joined(spans: Column) -> Column:
@@ -189,17 +248,41 @@ def _joined(spans: Column) -> Column:
 
 def private_spans(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
     """``docs`` without the text, with ``base`` and ``spans``: arrays of struct(s, k, e), ordered, ends exclusive."""
-    found = materialise(find_spans(docs, text), "spans")
-    chosen = select_patterns(found, precision)
-    wanted = F.filter("proposed", lambda x: x["pattern"].isin(chosen) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    others = [c for c in docs.columns if c not in (text, "base", "spans")]
+    own = docs.select(*(F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(others)), F.col(text).alias("text"))
+    found = materialise(find_spans(own), "spans")
+    chosen, _ = chosen_patterns(scored_patterns(found), precision)
+    wanted = F.filter("proposed", lambda x: x["pattern"].isin(chosen))
+    wanted = _once(_blocks("base"), lambda blocks: F.filter(wanted, lambda x: ~_meets(blocks, x)))
     added = F.transform(wanted, lambda x: F.struct(x["s"], x["k"], x["e"]))
+    spans = F.when(F.size("proposed") > 0, F.array_sort(F.concat("base", _apart(added)))).otherwise(F.col("base"))
+    return found.select(*(F.col(f"own{i}").alias(c) for i, c in enumerate(others)), "base", spans.alias("spans"))
+
+
+def _blocks(spans: str) -> Column:
+    """The spans in blocks of struct(lo, hi, spans): the least start and the greatest end."""
+    numbers = F.filter(F.sequence(F.lit(0), F.shiftright(F.size(spans), BLOCK_BITS)), lambda b: b * BLOCK < F.size(spans))
+    block = lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))
+    return F.transform(numbers, lambda b: F.struct(F.array_min(F.transform(block(b), lambda x: x["s"])).alias("lo"), F.array_max(F.transform(block(b), lambda x: x["e"])).alias("hi"), block(b).alias("spans")))
+
+
+def _meets(blocks: Column, x: Column) -> Column:
+    """Whether a span of the blocks overlaps x: only blocks that reach x are looked into."""
+    over = lambda lo, hi: (lo < x["e"]) & (x["s"] < hi)
+    return F.exists(blocks, lambda b: over(b["lo"], b["hi"]) & F.exists(b["spans"], lambda y: over(y["s"], y["e"])))
+
+
+def _apart(spans: Column) -> Column:
+    """Of overlapping spans, ordered by start, those that the first ones leave free; gathered block by block."""
     empty = F.array().cast(f"array<{SPAN}>")
 
-    def no_overlap(acc: Column, x: Column) -> Column:  # in order of start: of overlapping proposals the first stays
-        return F.when((F.size(acc) == 0) | (F.get(acc, F.size(acc) - 1)["e"] <= x["s"]), F.concat(acc, F.array(x))).otherwise(acc)
+    def step(acc: Column, x: Column) -> Column:
+        full, more = F.size(acc["block"]) + 1 >= BLOCK, F.array_append(acc["block"], x)
+        done = F.when(full, F.array_append(acc["done"], more)).otherwise(acc["done"])
+        return F.when(x["s"] >= acc["end"], F.struct(x["e"].alias("end"), done.alias("done"), F.when(full, empty).otherwise(more).alias("block"))).otherwise(acc)
 
-    apart = F.aggregate(added, empty, no_overlap)
-    return found.withColumn("spans", F.when(F.size("proposed") > 0, F.array_sort(F.concat("base", apart))).otherwise(F.col("base"))).drop("proposed")
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<array<{SPAN}>>").alias("done"), empty.alias("block"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["block"]))
 
 
 def _count(k: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -148,6 +149,58 @@ def test_rollup_counts_each_row_without_an_id(spark, tmp_path):
     assert total() == {("a", 1, 1), ("c", 1, 5)}
 
 
+def _rollup(spark, tmp_path):
+    log = tokencounts.TokenRollup(spark, str(tmp_path / "log"))
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, source string, lang string, tokenizer string, tokens long")
+    total = lambda: {(r.source, r.docs, r.tokens) for r in log.totals().collect()}
+    return log, rows, total
+
+
+def test_rollup_refuses_a_used_fold_name(spark, tmp_path):
+    log, rows, total = _rollup(spark, tmp_path)
+    log.apply("one", rows((1, "a", "en", "t", 4)))
+    log.compact("x")
+    log.apply("two", rows((2, "a", "en", "t", 5)))
+    with pytest.raises(ValueError):
+        log.compact("x")
+    assert total() == {("a", 2, 9)}
+    log.compact("y")
+    log.compact()
+    assert total() == {("a", 2, 9)} and not log.apply("one", rows((3, "a", "en", "t", 1))) and not log.apply("two", rows((3, "a", "en", "t", 1)))
+    with pytest.raises(ValueError):
+        log.compact("x")
+    assert total() == {("a", 2, 9)}
+
+
+def test_rollup_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A batch or a fold that fails between its two tables changes nothing, and can be sent again."""
+    log, rows, total = _rollup(spark, tmp_path)
+    log.apply("one", rows((1, "a", "en", "t", 4)))
+
+    def fail(_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tokencounts, "_summed", fail)
+        with pytest.raises(RuntimeError):
+            log.apply("two", rows((1, "a", "en", "t", 6), (2, "b", "en", "t", 1)))
+        with pytest.raises(RuntimeError):
+            log.compact("x")
+    assert total() == {("a", 1, 4)}
+    assert log.apply("two", rows((1, "a", "en", "t", 6), (2, "b", "en", "t", 1)))
+    assert total() == {("a", 1, 6), ("b", 1, 1)}
+    log.compact("x")
+    assert total() == {("a", 1, 6), ("b", 1, 1)} and not log.apply("two", rows((5, "a", "en", "t", 6)))
+
+
+def test_rollup_takes_ids_of_any_type(spark, tmp_path):
+    log, _, total = _rollup(spark, tmp_path)
+    rows = spark.createDataFrame([("x", "a", "en", "t", 4), ("y", "a", "en", "t", 3)], "doc_id string, source string, lang string, tokenizer string, tokens long")
+    log.apply("one", rows)
+    log.apply("two", deletes=spark.createDataFrame([("x",)], "doc_id string"))
+    assert total() == {("a", 1, 3)}
+
+
 def test_byte_bpe(found, texts):
     enc = brute.tokenizer()
     for i, r in found("op4_byte_bpe").items():
@@ -308,3 +361,54 @@ def test_stages_keep_other_columns(spark, folder, name, stage):
     back = stage(spark, docs, folder)
     assert back.columns == docs.columns
     assert all(r[c] == f"of {c}" for r in back.collect() for c in more)
+
+
+def _secrets(rng: random.Random, n: int) -> list[tuple[int, str]]:
+    """Texts with tokens after a cue, words joined by hyphens, and digests without a cue."""
+    filler = lambda: " ".join(rng.choices("some plain words of no great interest".split(), k=12))
+    out = []
+    for k in range(n):
+        kind = ("secret", "words", "none")[k % 3]
+        piece = {"secret": 'token = "' + "".join(rng.choices("0123456789abcdef", k=36)) + '"', "words": "well-known-and-much-loved-song-" + str(rng.randint(1, 99)), "none": ""}[kind]
+        out.append((k, f"{filler()} {piece} {filler()}"))
+    return out
+
+
+def test_pii_finds_planted_secrets(spark):
+    """Held-out precision and recall, and the spans themselves against where the secrets were put."""
+    from barloom.llm import pii
+
+    texts = dict(_secrets(random.Random(8), 300))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {(k, m.start(), m.end()) for k, t in texts.items() for m in re.finditer(r"[0-9a-f]{36}", t)}
+    rows = pii.private_spans(docs).collect()
+    got = {(r.doc_id, x.s, x.e) for r in rows for x in r.spans}
+    assert len(want) == 100 and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+    _, report = pii.chosen_patterns(pii.scored_patterns(pii.find_spans(docs)))
+    assert report["secret"][0] >= 0.9 and report["secret"][1] >= 0.9
+
+
+def test_calibration_is_isotonic():
+    from barloom.llm.pii import FEATURES, KINDS, calibrated, chosen_patterns
+
+    assert calibrated([(0.9, 8, 2), (0.8, 9, 1), (0.5, 0, 0), (0.2, 1, 9)]) == [0.85, 0.85, 0.1, 0.1]  # no labels: as the next lower score
+    assert calibrated([(0.5, 1, 1), (0.5, 3, 1)]) == [4 / 6, 4 / 6]
+    first = KINDS.index("secret") << len(FEATURES)
+    scored = [(first + 1, 0.9, 19, 1), (first + 2, 0.8, 9, 1), (first + 3, 0.7, 1, 9), (first + 4, 0.95, 0, 0)]
+    assert chosen_patterns(scored) == ([first + 1, first + 2, first + 4], {"secret": (28 / 30, 28 / 29)})
+    assert chosen_patterns([(first, 0.9, 0, 0)]) == ([], {})
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128, 129, 1000])
+def test_pii_offsets_over_blocks(spark, n):
+    """Offsets of many matches, and proposals between base spans."""
+    from barloom.llm import pii
+
+    text = " ".join(f"é{k} user{k}@mail.example.org" for k in range(n)) + " end"
+    row = pii.private_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.s, x.e) for x in row.base] == [(a, b) for a, _, _, b in brute.base_spans(text)]
+    spans = [(a, a + 3) for a in range(0, 4 * n, 2)]
+    frame = spark.createDataFrame([([{"s": a, "k": 0, "e": b} for a, b in spans],)], f"spans array<{pii.SPAN}>")
+    kept = frame.select(pii._apart(F.col("spans")).alias("x"), pii._once(pii._blocks("spans"), lambda b: F.filter(F.col("spans"), lambda x: ~pii._meets(b, x))).alias("y")).first()
+    want = [x for k, x in enumerate(spans) if k % 2 == 0]
+    assert [(x.s, x.e) for x in kept.x] == want and kept.y == []
