@@ -7,7 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +78,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def pieces(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in pieces of at most ``rows`` rows, so that a Python worker holds what it made of few rows at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def apart(docs: DataFrame, needed: Iterable[str], operator: Callable[[DataFrame], DataFrame], more: tuple[str, ...] = ()) -> DataFrame:
     """``operator`` on ``docs`` whose other columns have names that clash with none of its own.
 

@@ -272,13 +272,51 @@ def test_media(found, texts):
     assert len(same) == len({t or "" for t in texts.values()})
 
 
-@pytest.mark.parametrize("kind", range(5))
+@pytest.mark.parametrize("kind", [*range(5), None])
 def test_png_filters_and_checksums(kind):
-    payload = np.random.default_rng(kind).integers(0, 256, 64 * 37, np.uint8).tobytes()
-    data = media.encode_png(payload, kind)
-    assert media.decode_png(data).tobytes() == payload
+    payload = np.random.default_rng(kind or 0).integers(0, 256, 64 * 37, np.uint8).tobytes()
+    (data,) = media.encode_png([payload], kind)
+    assert next(media.decode_png([data])).tobytes() == payload
     with pytest.raises(ValueError):
-        media.decode_png(data[:60] + bytes([data[60] ^ 1]) + data[61:])
+        list(media.decode_png([data[:60] + bytes([data[60] ^ 1]) + data[61:]]))
+
+
+def _unfiltered(lines: np.ndarray) -> bytes:
+    """One image, sample by sample, as the format's text says."""
+    rows = []
+    for kind, *given in lines.tolist():
+        above, row = rows[-1] if rows else [0] * len(given), []
+        for x, value in enumerate(given):
+            a, b, c = row[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+            near = min((a, b, c), key=lambda v: abs(a + b - c - v))
+            row.append((value + (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        rows.append(row)
+    return bytes(x for row in rows for x in row)
+
+
+def test_images_are_unfiltered_together(monkeypatch):
+    """Images of many heights, texts and noise, all filters: each as if it were alone."""
+    rng = np.random.default_rng(2)
+    payloads = [rng.integers(0, 256, 64 * h, np.uint8).tobytes() for h in (1, 2, 70, 5, 130)]
+    payloads += [(SHARED * h).encode().ljust(64 * 40 * h, b"\0")[: 64 * 40 * h] for h in (1, 3)]
+    ramp = np.add.outer(np.arange(60), np.arange(64)).astype(np.uint8).tobytes()
+    for lines in (1 << 16, 64):
+        monkeypatch.setattr(media, "LINES", lines)
+        images = media.encode_png([*payloads, ramp])
+        assert [x.tobytes() for x in media.decode_png(images)] == [*payloads, ramp]
+    inflated = [media._inflated(x) for x in images]
+    assert len({k for x in inflated for k in x[:, 0].tolist()}) >= 4
+    assert [_unfiltered(x) for x in inflated] == [*payloads, ramp]
+
+
+def test_frequency_hash_is_the_transform():
+    """Against sums of cosines over every sample of the 32 x 32 image."""
+    image = np.random.default_rng(3).integers(0, 256, (64, 64), np.uint8)
+    small = image.reshape(32, 2, 32, 2).mean(axis=(1, 3))
+    cos = lambda k, x: np.cos(np.pi * k * (2 * x + 1) / 64)
+    low = [sum(small[y, x] * cos(u, y) * cos(v, x) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    bits = "".join("1" if round(c, 6) > np.median(np.round(low[1:], 6)) else "0" for c in low)
+    assert media.frequency_hash(image) == f"{int(bits, 2):016x}"
 
 
 def test_pii(found, texts):
