@@ -2,18 +2,25 @@
 
 Fixed rules reject texts that are too short or repeat themselves.  The others
 are judged by a vector of transformed statistics within their language and
-source: the minimum-covariance-determinant estimate of location and scatter is
-found by concentration steps from a coordinate-wise robust start, and a text
-whose squared Mahalanobis distance is beyond a chi-square limit is rejected.
-
-Each step is two aggregations over all rows: a histogram of distances gives the
-distance below which the share ``CORE`` of a group lies, then the moments of
-those rows give the next estimate.  Both are combined before the shuffle, so a
-group with a third of all rows costs no task more than another.  A small ridge
-(the square of ``FLOOR``) keeps statistics that hardly vary from rejecting
-everything that does.  Sources with fewer than ``LEAST`` texts of a language are
-judged by all texts of the language, and where these are too few by all texts of
-the table, however few: every text that passes the fixed rules has a distance.
+source: of all cores that hold the share ``CORE`` of a group, the
+minimum-covariance-determinant estimate takes location and scatter from the one
+whose scatter has the least determinant.  It is looked for from three starts (the
+coordinate-wise medians and quartile ranges; the moments of all rows; the
+correlations of hyperbolic tangents of the standardised statistics) by
+concentration steps, each start until its determinant falls no more, and the
+start of the least determinant is taken.  A text whose squared Mahalanobis
+distance is beyond the chi-square quantile of ``TAIL`` is rejected.
+
+A step is one aggregation over all rows: counts and moments by start and bin of
+distance, combined before the shuffle, so a group with a third of all rows costs
+no task more than another.  The bins up to the one that completes the share are
+the core, so its size is within one bin (a 64th part of the distance) of the
+share.  The estimate is regularised: the squares of ``FLOOR``, the least spread of
+a statistic that is taken for one, are added to the scatter's diagonal, so that
+statistics that hardly vary do not reject everything that does.  Sources with
+fewer than ``LEAST`` texts of a language are judged by all texts of the language,
+and where these are too few by all texts of the table, however few: every text
+that passes the fixed rules has a distance.
 
 Defined results: a null text has no words and fails; null languages and sources
 are groups of their own; repeated rows count as often as they occur; an empty
@@ -23,6 +30,7 @@ statistic or a verdict replaced (``good_documents`` keeps them).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +40,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import apart, materialise, read_documents
+from barloom.llm.common import apart, discard, materialise, read_documents
 
 CORE = 0.75  # share of a group that the estimate is made from
-STEPS = 3
-LEAST = 60
+MAX_STEPS = 30  # a bound; steps end when no determinant falls by a millionth part
+TAIL = 3e-5  # share of normally distributed texts that would be rejected
+LEAST = 60  # texts that a source or language needs for an estimate of its own
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals")
 FLOOR = (0.25, 0.05, 0.16, 0.20, 0.06)
-LIMIT = 28.5  # squared distance; chi-square with 5 degrees of freedom exceeds it with probability 3e-5
-#: The median of chi-square with 5 degrees of freedom (a fixed value).
-CHI_MEDIAN = 4.3515
+STARTS = ("medians", "moments", "tangents")
+BINS = 64  # in a distance and e times it
 #: Groups whose parameters are broadcast (about 300 bytes each); beyond this they are joined by shuffle.
 BROADCAST_GROUPS = 10_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,7 +86,7 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int, float, f
     repeats = repeated_words(words)
     capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     per = 1 / max(1, chars)
-    vector = (min(chars / max(1, n_words), 64.0), (symbols * per) ** 0.5, (dup / max(1, len(lines))) ** 0.5, (repeats / max(1, n_words)) ** 0.5, (capitals * per) ** 0.5)
+    vector = (chars / max(1, n_words), (symbols * per) ** 0.5, (dup / max(1, len(lines))) ** 0.5, (repeats / max(1, n_words)) ** 0.5, (capitals * per) ** 0.5)
     return (n_words, chars, symbols, dup, repeats, *vector)
 
 
@@ -109,56 +117,130 @@ def _grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
     large, enough = F.col("__n") >= LEAST, F.col("__l") >= LEAST
     judge = F.when(large, by_source).when(enough, by_lang).otherwise(by_all)
     part = F.array_compact(F.array(F.when(large, by_source), F.when(enough & F.col("__asked"), by_lang), F.when(F.col("__all"), by_all)))
-    placed = own.join(_small(langs, n), F.col("__lang").eqNullSafe(F.col("__of"))).crossJoin(F.broadcast(whole))  # one row
-    joined = _small(materialise(placed.select("__lang", "__source", judge.alias("__g"), part.alias("__in")), "quality-groups"), n)
+    placed = own.join(_hinted(langs, n <= BROADCAST_GROUPS), F.col("__lang").eqNullSafe(F.col("__of"))).crossJoin(F.broadcast(whole))  # one row
+    joined = _hinted(materialise(placed.select("__lang", "__source", judge.alias("__g"), part.alias("__in")), "quality-groups"), n <= BROADCAST_GROUPS)
     return rows.join(joined, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
 
 
-def _small(table: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(table) if n <= BROADCAST_GROUPS else table
+def chi_square_quantile(p: float, d: int) -> float:
+    """Where the distribution function of chi-square with d degrees of freedom reaches p: its series, by halving."""
 
+    def reached(x: float) -> float:
+        term = total = 1 / (d / 2)
+        k = d / 2
+        while term > 1e-17 * total:
+            k += 1
+            term *= x / 2 / k
+            total += term
+        return total * math.exp(-x / 2 + d / 2 * math.log(x / 2) - math.lgamma(d / 2))
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and deviations from the quartiles, as moments."""
+    low, high = 1e-12, 1e3
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if reached(middle) < p else (low, middle)
+    return low
+
+
+def _middles(rows: DataFrame) -> DataFrame:
+    """(__g, q0, s0, q1, ...): coordinate-wise medians, and spreads from the quartiles."""
     quartiles = rows.groupBy("__g").agg(*(F.percentile_approx(f"__f_{c}", [0.25, 0.5, 0.75], 10_000).alias(c) for c in FEATURES))
-    mean = [F.round(F.col(c)[1], 4).alias(f"m{i}") for i, c in enumerate(FEATURES)]
-    spread = lambda c: (F.round(F.col(c)[2] - F.col(c)[0], 4) / 1.349) ** 2
-    return quartiles.select("__g", *mean, *((spread(FEATURES[i]) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS), F.lit(1.0).alias("scale"))
+    each = [(F.round(F.col(c)[1], 4).alias(f"q{i}"), F.greatest(F.round(F.col(c)[2] - F.col(c)[0], 4) / 1.349, F.lit(0.0)).alias(f"s{i}")) for i, c in enumerate(FEATURES)]
+    return quartiles.select("__g", *(x for pair in each for x in pair))
 
 
 def _inverted(moments: DataFrame) -> DataFrame:
-    """``moments`` with the inverse of the ridged scatter (i00, i01, ...)."""
-    schema = T.StructType([*moments.schema.fields, *(T.StructField(f"i{i}{j}", T.DoubleType()) for i, j in _PAIRS)])
+    """``moments`` (c00, c01, ...) with the determinant ``det`` and inverse (i00, i01, ...) of the ridged scatter."""
+    schema = T.StructType([*moments.schema.fields, T.StructField("det", T.DoubleType()), *(T.StructField(f"i{i}{j}", T.DoubleType()) for i, j in _PAIRS)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             scatter = np.zeros((len(frame), _D, _D))
             for i, j in _PAIRS:
-                scatter[:, i, j] = scatter[:, j, i] = frame[f"c{i}{j}"] * frame["scale"]
-            inverse = np.linalg.inv(scatter + np.diag(np.square(FLOOR)))
-            yield frame.assign(**{f"i{i}{j}": inverse[:, i, j] for i, j in _PAIRS})
+                scatter[:, i, j] = scatter[:, j, i] = frame[f"c{i}{j}"]
+            scatter += np.diag(np.square(FLOOR))
+            inverse = np.linalg.inv(scatter)
+            yield frame.assign(det=np.linalg.det(scatter), **{f"i{i}{j}": inverse[:, i, j] for i, j in _PAIRS})
 
     return moments.mapInPandas(run, schema)
 
 
+def _starts(rows: DataFrame, middles: DataFrame, small: bool) -> DataFrame:
+    """(__g, start, m0, ..., c00, ...) of each of STARTS.  Means are from the medians on."""
+    joined = _placed(rows, middles, small)
+    z = [F.tanh(F.try_divide(F.col(f"x{i}"), F.col(f"s{i}"))) for i in range(_D)]
+    z = [F.coalesce(x, F.lit(0.0)) for x in z]
+    sums = joined.groupBy("__g").agg(
+        *(F.avg(f"x{i}").alias(f"a{i}") for i in range(_D)),
+        *(F.covar_pop(f"x{i}", f"x{j}").alias(f"v{i}{j}") for i, j in _PAIRS),
+        *(F.covar_pop(z[i], z[j]).alias(f"t{i}{j}") for i, j in _PAIRS),
+    )
+    sums = sums.join(_hinted(middles, small), "__g")
+    same = lambda i, j: F.col(f"s{i}") * F.col(f"s{j}")
+    tangent = lambda i, j: F.coalesce(F.try_divide(F.col(f"t{i}{j}"), F.sqrt(F.col(f"t{i}{i}") * F.col(f"t{j}{j}"))), F.lit(0.0)) * same(i, j)
+    zero = [F.lit(0.0).alias(f"m{i}") for i in range(_D)]
+    each = [
+        [*zero, *((same(i, j) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS)],
+        [*(F.col(f"a{i}").alias(f"m{i}") for i in range(_D)), *(F.col(f"v{i}{j}").alias(f"c{i}{j}") for i, j in _PAIRS)],
+        [*zero, *((same(i, j) if i == j else tangent(i, j)).alias(f"c{i}{j}") for i, j in _PAIRS)],
+    ]
+    return sums.select("__g", F.inline(F.array(*(F.struct(F.lit(name).alias("start"), *values) for name, values in zip(STARTS, each, strict=True)))))
+
+
+def _hinted(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
+def _placed(rows: DataFrame, middles: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with x0, x1, ...: the statistics less their group's medians."""
+    joined = rows.join(_hinted(middles, small), "__g")
+    return joined.withColumns({f"x{i}": F.col(f"__f_{c}") - F.col(f"q{i}") for i, c in enumerate(FEATURES)})
+
+
 def _distance() -> Column:
-    diff = [F.col(f"__f_{c}") - F.col(f"m{i}") for i, c in enumerate(FEATURES)]
+    diff = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_D)]
     terms = [(1 if i == j else 2) * F.col(f"i{i}{j}") * diff[i] * diff[j] for i, j in _PAIRS]
     return sum(terms[1:], terms[0])
 
 
-def _quantile(measured: DataFrame, share: float) -> DataFrame:
-    """For each group the upper edge of the bin that holds the quantile: bins of one part in 64 of the distance."""
-    bins = measured.groupBy("__g", F.floor(F.log(F.greatest("__d", F.lit(1e-9))) * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    up = F.sum("n").over(Window.partitionBy("__g").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("__g"))
-    reached = bins.withColumn("up", up).withColumn("total", total).filter(F.col("up") >= share * F.col("total"))
-    return reached.groupBy("__g").agg(F.exp((F.min("bin") + 1) / 64).alias("edge"))
-
-
-def _moments(core: DataFrame) -> DataFrame:
-    sums = core.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"__f_{c}").alias(f"m{i}") for i, c in enumerate(FEATURES)), *(F.covar_pop(f"__f_{FEATURES[i]}", f"__f_{FEATURES[j]}").alias(f"c{i}{j}") for i, j in _PAIRS))
-    return sums.select("__g", *(f"m{i}" for i in range(_D)), *(f"c{i}{j}" for i, j in _PAIRS), F.lit(1.0).alias("scale"))
+def _bin(distance: Column) -> Column:
+    return F.floor(F.log(F.greatest(distance, F.lit(1e-9))) * BINS)
+
+
+def _concentrated(rows: DataFrame, middles: DataFrame, params: DataFrame, small: bool) -> DataFrame:
+    """One step: (__g, start, m0, ..., c00, ...) of the rows of least distance that make up CORE."""
+    measured = _placed(rows, middles, small).join(_hinted(params, small), "__g").withColumn("bin", _bin(_distance()))
+    product = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
+    bins = measured.groupBy("__g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"x{i}").alias(f"p{i}") for i in range(_D)), *product)
+    one = Window.partitionBy("__g", "start")
+    before = F.coalesce(F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    core = bins.withColumns({"before": before, "all": F.sum("n").over(one)}).filter(F.col("before") < CORE * F.col("all"))
+    sums = core.groupBy("__g", "start").agg(F.sum("n").alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(_D)), *(F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in _PAIRS))
+    mean = lambda i: F.col(f"p{i}") / F.col("n")
+    return sums.select("__g", "start", *(mean(i).alias(f"m{i}") for i in range(_D)), *((F.col(f"p{i}{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+
+def minimum_covariance_determinants(rows: DataFrame, middles: DataFrame) -> DataFrame:
+    """(__g, start, det, m0, ..., i00, ...) of each group's core of least determinant."""
+    n = middles.count()
+    small = n * len(STARTS) <= BROADCAST_GROUPS
+    params = materialise(_inverted(_starts(rows, middles, small)), "quality-start")
+    best, moving, step = None, True, 0
+    while moving and step < MAX_STEPS:
+        new = _inverted(_concentrated(rows, middles, params, small)).select(*params.columns)
+        if best is None:
+            best = materialise(new.withColumn("moved", F.lit(True)), "quality-step")
+        else:
+            old = best.select("__g", "start", F.struct(*best.columns[2:]).alias("old"))
+            both = new.select("__g", "start", F.struct(*new.columns[2:], F.lit(True).alias("moved")).alias("new")).join(old, ["__g", "start"], "right")
+            falls = F.col("new.det") < F.col("old.det") * (1 - 1e-6)
+            stays = F.struct(*(F.lit(False).alias("moved") if c == "moved" else F.col(f"old.{c}").alias(c) for c in best.columns[2:]))
+            last, best = best, materialise(both.select("__g", "start", F.when(F.coalesce(falls, F.lit(False)), F.col("new")).otherwise(stays).alias("x")).select("__g", "start", "x.*"), "quality-step")
+            discard(last)
+        params = best.filter("moved").drop("moved")
+        moving = params.limit(1).count() > 0
+        step += 1
+    order = Window.partitionBy("__g").orderBy("det", "start")
+    return best.drop("moved").withColumn("turn", F.row_number().over(order)).filter("turn = 1").drop("turn")
 
 
 def robust_verdicts(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -170,18 +252,17 @@ def robust_verdicts(rows: DataFrame, lang: str = "lang", source: str = "source")
 def _judged(rows: DataFrame, lang: str, source: str) -> DataFrame:
     rows = materialise(_grouped(rows, lang, source), "quality-rows")
     sure = rows.filter(~F.col("base_failed")).select(F.explode("__in").alias("__g"), *(f"__f_{c}" for c in FEATURES))
-    params = materialise(_inverted(_start(sure)), "quality-start")
-    n = params.count()
-    for step in range(STEPS):
-        measured = sure.join(_small(params, n), "__g").withColumn("__d", _distance())
-        edges = materialise(_quantile(measured, CORE), "quality-edges")
-        core = measured.join(_small(edges, n), "__g").filter(F.col("__d") <= F.col("edge"))
-        params = materialise(_inverted(_moments(core)), f"quality-step{step}")
-    measured = sure.join(_small(params, n), "__g").withColumn("__d", _distance())
-    middle = _quantile(measured, 0.5).select("__g", F.greatest(F.lit(1.0), F.col("edge") / CHI_MEDIAN).alias("__wide"))
-    params = materialise(params.drop("scale").join(middle, "__g"), "quality-final")
-    judged = rows.join(_small(params, n), "__g", "left").withColumn("distance", _distance() / F.col("__wide"))
-    kept = ~F.col("base_failed") & ((F.col("distance") <= LIMIT))
+    middles = materialise(_middles(sure), "quality-middles")
+    params = materialise(minimum_covariance_determinants(sure, middles).join(middles, "__g"), "quality-params")
+    small = params.count() <= BROADCAST_GROUPS
+    bins = _placed(sure, middles, small).join(_hinted(params.drop(*middles.columns[1:]), small), "__g").groupBy("__g", _bin(_distance()).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("__g")
+    half = bins.withColumns({"up": F.sum("n").over(one.orderBy("bin")), "all": F.sum("n").over(one)}).filter(F.col("up") * 2 >= F.col("all"))
+    wide = half.groupBy("__g").agg(F.greatest(F.lit(1.0), F.exp((F.min("bin") + 1) / BINS) / chi_square_quantile(0.5, _D)).alias("__wide"))
+    params = materialise(params.join(wide, "__g"), "quality-final")
+    judged = rows.join(_hinted(params, small), "__g", "left").withColumns({f"x{i}": F.col(f"__f_{c}") - F.col(f"q{i}") for i, c in enumerate(FEATURES)})
+    judged = judged.withColumn("distance", _distance() / F.col("__wide"))
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi_square_quantile(1 - TAIL, _D))
     return judged.withColumn("kept", kept).select(*rows.columns, "distance", "kept")
 
 

@@ -242,6 +242,59 @@ def test_quality_judges_small_groups(spark, few):
     assert {r.doc_id for r in got if not r.kept} == {-1}
 
 
+def _plain_mcd(x: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray]:
+    """The least determinant over many starts and all its distances, by sorting: no bins, no sums."""
+    from barloom.llm import quality as q
+
+    ridge, h = np.diag(np.square(q.FLOOR)), int(np.ceil(q.CORE * len(x)))
+    best = (np.inf, None)
+    starts = [rng.choice(len(x), min(len(x), 12), replace=False) for _ in range(60)] + [np.arange(len(x)), np.argsort(np.abs(x - np.median(x, axis=0)).sum(axis=1))[:h]]
+    for core in starts:
+        last = np.inf
+        while True:
+            scatter = np.cov(x[core].T, bias=True) + ridge
+            diff = x - x[core].mean(axis=0)
+            distance = np.einsum("ij,jk,ik->i", diff, np.linalg.inv(scatter), diff)
+            det = np.linalg.det(scatter) if len(core) >= h else np.inf
+            if det < best[0]:
+                best = det, distance
+            if len(core) >= h and det >= last * (1 - 1e-9):
+                break
+            last, core = det, np.argsort(distance)[:h]
+    return best[0], best[1] / max(1.0, np.median(best[1]) / q.chi_square_quantile(0.5, x.shape[1]))
+
+
+def test_chi_square_quantile():
+    from barloom.llm.quality import chi_square_quantile
+
+    assert chi_square_quantile(0.5, 5) == pytest.approx(4.351460191)
+    assert chi_square_quantile(0.95, 2) == pytest.approx(-2 * np.log(0.05))
+    assert chi_square_quantile(0.99, 1) == pytest.approx(6.634896601)
+
+
+def test_quality_verdicts_are_the_estimates(spark):
+    """Every verdict and distance of correlated, contaminated groups against plain estimates from 62 starts."""
+    from barloom.llm import quality as q
+
+    rng = np.random.default_rng(6)
+    mix = rng.normal(size=(5, 5))
+    rows = []
+    for g, (n, bad) in enumerate([(400, 60), (300, 0), (90, 15)]):
+        clean = rng.normal(size=(n - bad, 5)) @ mix * 0.3 + 3
+        away = rng.normal(size=(bad, 5)) * 0.1 + 3 + 8 * np.sign(rng.normal(size=5))
+        rows += [(len(rows) + k, f"s{g}", *map(float, v)) for k, v in enumerate(np.vstack([clean, away]))]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"__f_{c} double" for c in q.FEATURES))
+    got = {r.doc_id: r for r in q.robust_verdicts(frame.withColumns({"lang": F.lit("en"), "base_failed": F.lit(False)})).collect()}
+    limit = q.chi_square_quantile(1 - q.TAIL, 5)
+    for g in range(3):
+        own = [r for r in rows if r[1] == f"s{g}"]
+        _, distance = _plain_mcd(np.array([r[2:] for r in own]), rng)
+        found = np.array([got[r[0]].distance for r in own])
+        assert np.allclose(found, distance, rtol=0.15, atol=0.3)
+        sure = np.abs(distance / limit - 1) > 0.15
+        assert [got[r[0]].kept for r, s in zip(own, sure, strict=True) if s] == [bool(d <= limit) for d, s in zip(distance, sure, strict=True) if s]
+
+
 def test_warc(found, folder):
     pages = pq.read_table(f"{folder}/pages.parquet").to_pylist()
     payload = {p["page_id"]: (p["html"] or "").encode() for p in pages}
