@@ -7,8 +7,8 @@ minimum-covariance-determinant estimate takes location and scatter from the one
 whose scatter has the least determinant.  It is looked for from three starts (the
 coordinate-wise medians and quartile ranges; the moments of all rows; the
 correlations of hyperbolic tangents of the standardised statistics) by
-concentration steps, each start until its determinant falls no more, and the
-start of the least determinant is taken.  A text whose squared Mahalanobis
+concentration steps: after ``TRIES`` steps a group keeps the start of its least
+determinant, and goes on until that falls no more.  A text whose squared Mahalanobis
 distance is beyond the chi-square quantile of ``TAIL`` is rejected.
 
 A step is one aggregation over all rows: counts and moments by start and bin of
@@ -40,10 +40,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import apart, discard, materialise, read_documents
+from barloom.llm.common import apart, discard, materialise, pieces, read_documents
 
 CORE = 0.75  # share of a group that the estimate is made from
-MAX_STEPS = 30  # a bound; steps end when no determinant falls by a millionth part
+TRIES = 2  # steps from every start
+MAX_STEPS = 30  # a bound; steps end when no determinant falls by a ten-thousandth part
 TAIL = 3e-5  # share of normally distributed texts that would be rejected
 LEAST = 60  # texts that a source or language needs for an estimate of its own
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals")
@@ -96,7 +97,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False
     schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in BASE), T.StructField("base_failed", T.BooleanType()), *(T.StructField(f"__f_{c}", T.DoubleType()) for c in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [text_statistics(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             found = list(zip(*rows, strict=True)) if rows else [[]] * 10
             failed = [n < 50 or 100 * r > 50 * n for n, r in zip(found[0], found[4], strict=True)]
@@ -113,7 +114,8 @@ def _grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
     langs = own.groupBy(F.col("__lang").alias("__of")).agg(F.sum("__n").alias("__l"), F.max(F.col("__n") < LEAST).alias("__asked"))
     whole = langs.agg(F.max(F.col("__l") < LEAST).alias("__all"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    by_source, by_lang, by_all = F.concat_ws("\t", F.lit("source"), name("__lang"), name("__source")), F.concat_ws("\t", F.lit("lang"), name("__lang")), F.lit("all")
+    number = lambda *parts: F.xxhash64(*map(F.lit, parts[:1]), *parts[1:])  # noqa: E731  joins on a number keep small hash tables
+    by_source, by_lang, by_all = number("source", name("__lang"), name("__source")), number("lang", name("__lang")), number("all")
     large, enough = F.col("__n") >= LEAST, F.col("__l") >= LEAST
     judge = F.when(large, by_source).when(enough, by_lang).otherwise(by_all)
     part = F.array_compact(F.array(F.when(large, by_source), F.when(enough & F.col("__asked"), by_lang), F.when(F.col("__all"), by_all)))
@@ -164,9 +166,9 @@ def _inverted(moments: DataFrame) -> DataFrame:
     return moments.mapInPandas(run, schema)
 
 
-def _starts(rows: DataFrame, middles: DataFrame, small: bool) -> DataFrame:
+def _starts(vectors: DataFrame, middles: DataFrame, small: bool) -> DataFrame:
     """(__g, start, m0, ..., c00, ...) of each of STARTS.  Means are from the medians on."""
-    joined = _placed(rows, middles, small)
+    joined = vectors.join(_hinted(middles, small), "__g")
     z = [F.tanh(F.try_divide(F.col(f"x{i}"), F.col(f"s{i}"))) for i in range(_D)]
     z = [F.coalesce(x, F.lit(0.0)) for x in z]
     sums = joined.groupBy("__g").agg(
@@ -206,9 +208,9 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log(F.greatest(distance, F.lit(1e-9))) * BINS)
 
 
-def _concentrated(rows: DataFrame, middles: DataFrame, params: DataFrame, small: bool) -> DataFrame:
+def _concentrated(vectors: DataFrame, params: DataFrame, small: bool) -> DataFrame:
     """One step: (__g, start, m0, ..., c00, ...) of the rows of least distance that make up CORE."""
-    measured = _placed(rows, middles, small).join(_hinted(params, small), "__g").withColumn("bin", _bin(_distance()))
+    measured = vectors.join(_hinted(params, small), "__g").withColumn("bin", _bin(_distance()))
     product = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
     bins = measured.groupBy("__g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"x{i}").alias(f"p{i}") for i in range(_D)), *product)
     one = Window.partitionBy("__g", "start")
@@ -219,28 +221,22 @@ def _concentrated(rows: DataFrame, middles: DataFrame, params: DataFrame, small:
     return sums.select("__g", "start", *(mean(i).alias(f"m{i}") for i in range(_D)), *((F.col(f"p{i}{j}") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i, j in _PAIRS))
 
 
-def minimum_covariance_determinants(rows: DataFrame, middles: DataFrame) -> DataFrame:
-    """(__g, start, det, m0, ..., i00, ...) of each group's core of least determinant."""
-    n = middles.count()
-    small = n * len(STARTS) <= BROADCAST_GROUPS
-    params = materialise(_inverted(_starts(rows, middles, small)), "quality-start")
-    best, moving, step = None, True, 0
-    while moving and step < MAX_STEPS:
-        new = _inverted(_concentrated(rows, middles, params, small)).select(*params.columns)
-        if best is None:
-            best = materialise(new.withColumn("moved", F.lit(True)), "quality-step")
-        else:
-            old = best.select("__g", "start", F.struct(*best.columns[2:]).alias("old"))
-            both = new.select("__g", "start", F.struct(*new.columns[2:], F.lit(True).alias("moved")).alias("new")).join(old, ["__g", "start"], "right")
-            falls = F.col("new.det") < F.col("old.det") * (1 - 1e-6)
-            stays = F.struct(*(F.lit(False).alias("moved") if c == "moved" else F.col(f"old.{c}").alias(c) for c in best.columns[2:]))
-            last, best = best, materialise(both.select("__g", "start", F.when(F.coalesce(falls, F.lit(False)), F.col("new")).otherwise(stays).alias("x")).select("__g", "start", "x.*"), "quality-step")
-            discard(last)
-        params = best.filter("moved").drop("moved")
-        moving = params.limit(1).count() > 0
-        step += 1
+def minimum_covariance_determinants(vectors: DataFrame, middles: DataFrame, small: bool) -> DataFrame:
+    """(__g, start, det, m0, ..., i00, ...) of each group's core of least determinant.  vectors: __g, x0, x1, ... from the medians on."""
+    params = materialise(_inverted(_starts(vectors, middles, small)), "quality-start")
+    for _ in range(TRIES):
+        params = materialise(_inverted(_concentrated(vectors, params, small)).select(*params.columns), "quality-step")
     order = Window.partitionBy("__g").orderBy("det", "start")
-    return best.drop("moved").withColumn("turn", F.row_number().over(order)).filter("turn = 1").drop("turn")
+    best = materialise(params.withColumn("__turn", F.row_number().over(order)).filter("__turn = 1").drop("__turn"), "quality-best").withColumn("moved", F.lit(True))
+    for _ in range(TRIES, MAX_STEPS):
+        new = _inverted(_concentrated(vectors, best.filter("moved").drop("moved"), small)).select("__g", F.struct(*best.columns[1:-1]).alias("new"))
+        old = best.select("__g", F.struct(*best.columns[1:-1]).alias("old"))
+        falls = F.coalesce(F.col("new.det") < F.col("old.det") * (1 - 1e-4), F.lit(False))
+        least = F.when(F.coalesce(F.col("new.det") < F.col("old.det"), F.lit(False)), F.col("new")).otherwise(F.col("old"))
+        best = materialise(old.join(new, "__g", "left").select("__g", least.alias("x"), falls.alias("moved")).select("__g", "x.*", "moved"), "quality-step")
+        if not best.filter("moved").limit(1).count():
+            break
+    return best.drop("moved")
 
 
 def robust_verdicts(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -253,13 +249,15 @@ def _judged(rows: DataFrame, lang: str, source: str) -> DataFrame:
     rows = materialise(_grouped(rows, lang, source), "quality-rows")
     sure = rows.filter(~F.col("base_failed")).select(F.explode("__in").alias("__g"), *(f"__f_{c}" for c in FEATURES))
     middles = materialise(_middles(sure), "quality-middles")
-    params = materialise(minimum_covariance_determinants(sure, middles).join(middles, "__g"), "quality-params")
-    small = params.count() <= BROADCAST_GROUPS
-    bins = _placed(sure, middles, small).join(_hinted(params.drop(*middles.columns[1:]), small), "__g").groupBy("__g", _bin(_distance()).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    small = middles.count() * len(STARTS) <= BROADCAST_GROUPS
+    vectors = materialise(_placed(sure, middles, small).select("__g", *(f"x{i}" for i in range(_D))), "quality-vectors")
+    params = materialise(minimum_covariance_determinants(vectors, middles, small).join(middles, "__g"), "quality-params")
+    bins = vectors.join(_hinted(params, small), "__g").groupBy("__g", _bin(_distance()).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     one = Window.partitionBy("__g")
     half = bins.withColumns({"up": F.sum("n").over(one.orderBy("bin")), "all": F.sum("n").over(one)}).filter(F.col("up") * 2 >= F.col("all"))
     wide = half.groupBy("__g").agg(F.greatest(F.lit(1.0), F.exp((F.min("bin") + 1) / BINS) / chi_square_quantile(0.5, _D)).alias("__wide"))
     params = materialise(params.join(wide, "__g"), "quality-final")
+    discard(vectors)
     judged = rows.join(_hinted(params, small), "__g", "left").withColumns({f"x{i}": F.col(f"__f_{c}") - F.col(f"q{i}") for i, c in enumerate(FEATURES)})
     judged = judged.withColumn("distance", _distance() / F.col("__wide"))
     kept = ~F.col("base_failed") & (F.col("distance") <= chi_square_quantile(1 - TAIL, _D))
