@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.costs import CostModel, from_bps
+from barloom.functions.costs import Fees, from_bps
 from barloom.functions.panel import clip, div, in_order, lag, lead, so_far
 from barloom.functions.recurrence import per_symbol
 from barloom.operators.signals import BUY, HOLD, SELL, held
@@ -35,25 +35,25 @@ def positions(frame: DataFrame, delay: int = 0) -> DataFrame:
     return out.select(*frame.columns, "pos")
 
 
-def vectorised(frame: DataFrame, costs: CostModel | None = None, cash: float = 1_000_000.0, delay: int = 0) -> DataFrame:
+def vectorised(frame: DataFrame, costs: Fees | None = None, cash: float = 1_000_000.0, delay: int = 0) -> DataFrame:
     """symbol, date, close, pos, equity of a frame with a signal."""
     costs = costs or from_bps(*BPS)
     out = positions(frame, delay).select("symbol", "date", "close", "pos")
     out = out.withColumns({"__was": F.coalesce(lag("pos"), F.lit(0.0)), "__r": F.coalesce(div(F.col("close"), lag("close")) - 1, F.lit(0.0))})
-    if costs.min_commission > 0:
+    if costs.least > 0:
 
         def fold(rows: pd.DataFrame) -> pd.DataFrame:
             equity, now = [], cash
             for pos, was, r in zip(rows["pos"], rows["__was"], rows["__r"], strict=True):
                 value = now * abs(pos - was)
-                paid = costs.trade_cost(value, pos < was) + value * costs.slippage_rate if value > 0 else 0.0
+                paid = costs.paid(value, pos < was) + value * costs.slip
                 now = max(now * (1 + was * r) - paid, 0.0)
                 equity.append(now)
             return rows.assign(equity=equity)
 
         return per_symbol(out, fold, {"equity": "double"}).drop("__was", "__r")
     more, less = F.greatest(F.col("pos") - F.col("__was"), F.lit(0.0)), F.greatest(F.col("__was") - F.col("pos"), F.lit(0.0))
-    paid = (more + less) * (costs.proportional() + costs.slippage_rate) + less * costs.stamp_duty_sell + more * costs.stamp_duty_buy
+    paid = (more + less) * (costs.share + costs.slip) + less * costs.sell_duty + more * costs.buy_duty
     out = out.withColumn("__g", 1 + F.col("__was") * F.col("__r") - paid)
     return out.withColumn("equity", cash * F.product("__g").over(so_far())).drop("__was", "__r", "__g")
 
@@ -138,7 +138,7 @@ def metrics(equity: DataFrame, trades: DataFrame, by: tuple[str, ...] = ("symbol
     )
 
 
-def event_driven(frame: DataFrame, costs: CostModel | None = None, cash: float = 1_000_000.0, delay: int = 0) -> DataFrame:
+def event_driven(frame: DataFrame, costs: Fees | None = None, cash: float = 1_000_000.0, delay: int = 0) -> DataFrame:
     """symbol, date, close, equity, shares and the trade a bar closed (closed_pnl, closed_pct, held_bars; else null).
 
     Orders are filled at the bar's close with slippage, in whole lots and within
@@ -149,8 +149,8 @@ def event_driven(frame: DataFrame, costs: CostModel | None = None, cash: float =
     costs = costs or from_bps(*BPS)
     signals = "signal" in frame.columns
     wanted = "signal" if signals else ("score" if "score" in frame.columns else "position")
-    lot = max(costs.lot_size, 1)
-    slip, fee = costs.slippage_rate, costs.proportional()
+    lot = costs.lot
+    slip, fee = costs.slip, costs.share
     added = {"equity": "double", "shares": "double", "closed_pnl": "double", "closed_pct": "double", "held_bars": "long"}
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -166,15 +166,15 @@ def event_driven(frame: DataFrame, costs: CostModel | None = None, cash: float =
             if signals:
                 if want == BUY and not shares and not up:
                     price = close * (1 + slip)
-                    buy = costs.affordable(costs.whole_lots(money / (price * (1 + fee))), price, money)
+                    buy = costs.affordable(costs.lots(money / (price * (1 + fee))), price, money)
                     buy = buy if buy >= lot else 0.0
                 elif want == SELL and shares and not down:
                     sell = shares
             elif want is not None:
                 share = 0.0 if pd.isna(want) else min(1.0, max(0.0, float(want)))
                 price = close * (1 + slip)
-                change = costs.whole_lots((money + shares * close) * share / (price * (1 + fee))) - shares
-                if change > 0 and not up and change * price + costs.trade_cost(change * price) <= money:
+                change = costs.lots((money + shares * close) * share / (price * (1 + fee))) - shares
+                if change > 0 and not up and change * price + costs.paid(change * price) <= money:
                     buy = change
                 elif change < 0 and not down:
                     sell = min(-change, shares)
@@ -184,15 +184,15 @@ def event_driven(frame: DataFrame, costs: CostModel | None = None, cash: float =
                     paid, since = price, i
                 else:
                     paid = (paid * shares + price * buy) / (shares + buy)
-                money -= buy * price + costs.trade_cost(buy * price)
+                money -= buy * price + costs.paid(buy * price)
                 shares += buy
             if sell:
                 gross = sell * close * (1 - slip)
-                got = gross - costs.trade_cost(gross, True)
+                got = gross - costs.paid(gross, True)
                 money, shares = money + got, shares - sell
                 if not shares:
                     basis = sell * paid
-                    cost = basis + costs.trade_cost(basis)
+                    cost = basis + costs.paid(basis)
                     closed = (got - cost, (got - cost) / (cost if signals else basis), i - since)
             out.append((money + shares * close, shares, *closed))
         made = pd.DataFrame(out, columns=list(added))
@@ -269,7 +269,7 @@ def next_day_dataset(bars: DataFrame) -> DataFrame:
     return out.select("symbol", "date", *(x.alias(n) for n, x in made.items()))
 
 
-def limit_orders(bars: DataFrame, target: Column, costs: CostModel, entry: Column | None = None, stop: float | None = None, band: float = 0.1) -> DataFrame:
+def limit_orders(bars: DataFrame, target: Column, costs: Fees, entry: Column | None = None, stop: float | None = None, band: float = 0.1) -> DataFrame:
     """A buy at each close where ``entry`` holds (not after a limit-up day) and a limit sell at ``target`` more on the next bar.
 
     A higher open fills at the open, a high that reaches the limit at the limit,
@@ -285,7 +285,7 @@ def limit_orders(bars: DataFrame, target: Column, costs: CostModel, entry: Colum
         floor = F.col("close") * (1 - stop)
         touched = F.col("l1") <= floor
         reason, price = F.when(touched, "stop").otherwise(reason), F.when(touched, F.least(floor, F.col("o1"))).otherwise(price)
-    fee = costs.round_trip(10_000.0) + 2 * costs.slippage_rate
+    fee = costs.both_ways(10_000.0)
     out = out.withColumns({"limit_price": limit, "exit_price": price, "reason": reason})
     out = out.withColumn("gross", div(F.col("exit_price"), F.col("close")) - 1).withColumn("net", F.col("gross") - fee)
     return out.select("symbol", "date", F.col("close").alias("entry_price"), "limit_price", "exit_price", "gross", "net", "reason", F.col("reason").isin("gap_open", "limit").alias("filled"), (div(F.col("h1"), F.col("close")) - 1).alias("mfe"))
@@ -305,7 +305,7 @@ def limit_stats(orders: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def scan_targets(bars: DataFrame, targets: list[float], costs: CostModel, **options) -> DataFrame:
+def scan_targets(bars: DataFrame, targets: list[float], costs: Fees, **options) -> DataFrame:
     """:func:`limit_stats` of each (symbol, target): one pass over the bars times the targets."""
     many = bars.withColumn("target", F.explode(F.array(*map(F.lit, targets))))
     keyed = many.withColumn("__s", F.col("symbol")).withColumn("symbol", F.concat_ws("\t", "symbol", F.col("target").cast("string")))

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.costs import CostModel
+from barloom.functions.costs import Fees
 from barloom.functions.panel import in_order
 from barloom.operators import backtest as bt
 from barloom.operators.signals import BUY, HOLD, SELL, Strategy
@@ -21,13 +21,13 @@ def long_enough(bars: DataFrame) -> DataFrame:
     return bars.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(F.col("__n") >= LEAST_BARS).drop("__n")
 
 
-def run_metrics(frame: DataFrame, costs: CostModel | None = None) -> DataFrame:
+def run_metrics(frame: DataFrame, costs: Fees | None = None) -> DataFrame:
     """:func:`barloom.operators.backtest.metrics` of each symbol of bars with a signal."""
     run = bt.vectorised(frame, costs)
     return bt.metrics(run, bt.trades_of(run))
 
 
-def multi_symbol(bars: DataFrame, strategy: Strategy, costs: CostModel | None = None, metric: str = "sharpe") -> DataFrame:
+def multi_symbol(bars: DataFrame, strategy: Strategy, costs: Fees | None = None, metric: str = "sharpe") -> DataFrame:
     """One row: how the metric is spread over the symbols."""
     each = run_metrics(strategy(long_enough(bars)), costs)
     return each.agg(
@@ -56,7 +56,7 @@ def _uncased(frame: DataFrame) -> DataFrame:
     return frame.withColumns({"case": F.substring_index("symbol", "\t", -1), "symbol": F.substring_index("symbol", "\t", 1)})
 
 
-def param_sweep(bars: DataFrame, factory: Callable[..., Strategy], grid: dict[str, list[Any]], costs: CostModel | None = None) -> DataFrame:
+def param_sweep(bars: DataFrame, factory: Callable[..., Strategy], grid: dict[str, list[Any]], costs: Fees | None = None) -> DataFrame:
     """Metrics of each (case, symbol), the case named like ``fast=5,slow=20``: one back-test over all of them."""
     kept = long_enough(bars)
     cases = []
@@ -70,19 +70,22 @@ def param_sweep(bars: DataFrame, factory: Callable[..., Strategy], grid: dict[st
 
 
 def plateau(sweep: DataFrame, params: list[str], metric: str = "sharpe", share: float = 0.2) -> DataFrame:
-    """(symbol, plateau): 1 less the mean spread of the best cases' parameters over that of an even one (0.29 of the range), within [0, 1]."""
+    """(symbol, plateau): 1 less the mean spread of the best cases' parameters over that of an even one (0.29 of the range), within [0, 1].
+
+    Parameters that are no numbers or have one value only are left out; 0 where none is left.
+    """
     best = Window.partitionBy("symbol").orderBy(F.col(metric).desc(), "case")
     rows = sweep.withColumns({"__k": F.row_number().over(best), "__n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
-    value = lambda p: F.regexp_extract("case", rf"(?:^|,){p}=([^,]*)", 1).cast("double")
+    value = lambda p: F.expr(f"try_cast(regexp_extract(case, '(?:^|,){p}=([^,]*)', 1) AS double)")
     rows = rows.withColumns({f"__{p}": value(p) for p in params})
     top = F.col("__k") <= F.greatest(F.lit(2), F.floor(F.col("__n") * share))
     spread = [F.try_divide(F.stddev_pop(F.when(top, F.col(f"__{p}"))), F.max(f"__{p}") - F.min(f"__{p}")) for p in params]
-    out = rows.groupBy("symbol").agg(*(s.alias(f"s{i}") for i, s in enumerate(spread)))
-    mean = sum((F.coalesce(f"s{i}", F.lit(0.0)) for i in range(1, len(params))), F.coalesce("s0", F.lit(0.0))) / len(params)
-    return out.select("symbol", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean / 0.29)).alias("plateau"))
+    known = rows.groupBy("symbol").agg(F.array_compact(F.array(*spread).cast("array<double>")).alias("s"))
+    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
+    return known.select("symbol", F.when(F.size("s") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean / 0.29))).otherwise(0.0).alias("plateau"))
 
 
-def optimise(bars: DataFrame, factory: Callable[..., Strategy], grid: dict[str, list[Any]], test_ratio: float = 0.3, embargo: int = 5, metric: str = "sharpe", costs: CostModel | None = None) -> DataFrame:
+def optimise(bars: DataFrame, factory: Callable[..., Strategy], grid: dict[str, list[Any]], test_ratio: float = 0.3, embargo: int = 5, metric: str = "sharpe", costs: Fees | None = None) -> DataFrame:
     """(symbol, case, in_sample, out_of_sample): the best case of the first part of each symbol's bars, and how it did on the rest."""
     part = bars.withColumns({"__k": F.row_number().over(in_order()), "__n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
     cut = F.floor(F.col("__n") * (1 - test_ratio))
@@ -95,7 +98,7 @@ def optimise(bars: DataFrame, factory: Callable[..., Strategy], grid: dict[str,
     return chosen.join(later, ["symbol", "case"], "left")
 
 
-def walk_forward(bars: DataFrame, strategy: Strategy, splits: int = 5, train: int = 120, test: int = 40, embargo: int = 5, costs: CostModel | None = None) -> DataFrame:
+def walk_forward(bars: DataFrame, strategy: Strategy, splits: int = 5, train: int = 120, test: int = 40, embargo: int = 5, costs: Fees | None = None) -> DataFrame:
     """(symbol, fold, total_return, num_bars): test parts from each symbol's end backwards, run with their training bars before them."""
     run = bt.vectorised(strategy(long_enough(bars)), costs)
     run = run.withColumns({"__k": F.row_number().over(in_order().orderBy(F.col("date").desc())), "__n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
@@ -104,7 +107,7 @@ def walk_forward(bars: DataFrame, strategy: Strategy, splits: int = 5, train: in
     return parts.groupBy("symbol", "fold").agg((F.try_divide(F.max_by("equity", "date"), F.min_by("equity", "date")) - 1).alias("total_return"), F.count(F.lit(1)).alias("num_bars"))
 
 
-def random_benchmark(bars: DataFrame, strategy: Strategy, trials: int = 200, metric: str = "sharpe", seed: int = 42, costs: CostModel | None = None) -> DataFrame:
+def random_benchmark(bars: DataFrame, strategy: Strategy, trials: int = 200, metric: str = "sharpe", seed: int = 42, costs: Fees | None = None) -> DataFrame:
     """(symbol, actual, percentile, p_value) against ``trials`` runs that enter and leave at random as often as the strategy does.
 
     The chance of a bar is a hash of seed, trial, symbol and date, so reruns agree

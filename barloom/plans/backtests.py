@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,7 +155,7 @@ def nextday_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(out, "range_pct", "range_expand", "close_pos", "upper_shadow", "lower_shadow", "ret5", "dist_ma20", "vol_ratio", "overnight", "intraday", "y_mfe", "y_mae", "y_close")
 
 
-_FEE_A = repr(fees.A_SHARE.round_trip(10_000.0) + 2 * fees.A_SHARE.slippage_rate) + "::DOUBLE"
+_FEE_A = repr(fees.A_SHARE.both_ways(10_000.0)) + "::DOUBLE"
 
 
 def _limit_sql(target: str) -> str:
@@ -211,7 +212,7 @@ SELECT capital, name, {r("min_ticket")} AS min_ticket, positions, {r("ticket")}
 )
 def advise(spark: SparkSession, sf_dir: str) -> DataFrame:
     capital = table(spark, sf_dir, "customer").filter("c_acctbal > -999").select((F.col("c_acctbal") + 1000).alias("capital")).distinct()
-    names = fees.models(spark).select("name")
+    names = fees.schedules(spark).select("name")
     out = fees.ticket_limits(capital.crossJoin(F.broadcast(names)))
     return out.select("capital", "name", rounded("min_ticket").alias("min_ticket"), "positions", rounded("ticket").alias("ticket"), rounded("round_trips", 4).alias("round_trips"), rounded("hold_bars", 3).alias("hold_bars"))
 
@@ -259,23 +260,47 @@ def _inputs(spark: SparkSession, sf_dir: str, config: pf.PortfolioConfig) -> Dat
 
 @query("portfolio_run")
 def portfolio_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is held or closed on each date."""
     config = pf.PortfolioConfig(cash=1e8, rebalance="monthly")
-    steps = pf.run_portfolios(_inputs(spark, sf_dir, config), {"base": config})
-    return steps.select("run", "date", "symbol", rounded("weight").alias("weight"), rounded("equity", 2).alias("equity"), rounded("turnover", 2).alias("turnover"), rounded("closed_pct").alias("closed_pct"))
+    runs = pf.run_portfolios(_inputs(spark, sf_dir, config), {"base": config})
+    rows = runs.positions.join(runs.days.select("run", "date", "equity", "turnover"), ["run", "date"])
+    return rows.select("run", "date", "symbol", F.round("weight", 6).alias("weight"), F.round("equity", 2).alias("equity"), F.round("turnover", 2).alias("turnover"), F.round("closed_pct", 6).alias("closed_pct"))
+
+
+@query("target_weights")
+def target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of each rebalancing date under the three allocations."""
+    config = pf.PortfolioConfig(cash=1e8, rebalance="weekly")
+    weights = pf.target_weights(_inputs(spark, sf_dir, config), {a: replace(config, allocation=a) for a in ("equal", "inverse_vol", "score")})
+    return weights.select("run", "date", "symbol", F.round("weight", 6).alias("weight"))
 
 
 @query("compare_allocations")
 def compare_allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = pf.PortfolioConfig(cash=1e8, rebalance="weekly")
     summary = pf.run_summary(pf.compare_allocations(_inputs(spark, sf_dir, config), config))
-    return summary.select("run", *(rounded(c).alias(c) for c in ("total_return", "annual_turnover", "avg_positions", "cash_pct_mean", "max_drawdown")), "max_positions_held", "num_trades", "max_dd_days")
+    return summary.select("run", *(F.round(c, 6).alias(c) for c in ("total_return", "annual_turnover", "avg_positions", "cash_pct_mean", "max_drawdown")), "max_positions_held", "num_trades", "max_dd_days")
 
 
 @query("portfolio_contribution")
 def portfolio_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = pf.PortfolioConfig(cash=1e8, rebalance="signal", allocation="score")
-    steps = pf.run_portfolios(_inputs(spark, sf_dir, config), {"base": config})
-    return pf.contributions(steps).select("run", "symbol", "trades", rounded("total_pnl", 2).alias("total_pnl"), rounded("win_rate").alias("win_rate"), rounded("avg_pnl_pct").alias("avg_pnl_pct"))
+    runs = pf.run_portfolios(_inputs(spark, sf_dir, config), {"base": config})
+    return pf.contributions(runs).select("run", "symbol", "trades", F.round("total_pnl", 2).alias("total_pnl"), F.round("win_rate", 6).alias("win_rate"), F.round("avg_pnl_pct", 6).alias("avg_pnl_pct"))
+
+
+@query("backtest_model")
+def backtest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = pf.PortfolioConfig(cash=1e8, max_positions=10, allocation="score")
+    runs = pf.backtest_model(brand_week_bars(spark, sf_dir), _panel(spark, sf_dir).select("symbol", "date", "pred"), config=config)
+    return runs.days.select("date", F.round("equity", 2).alias("equity"), F.round("turnover", 2).alias("turnover"), "n_held")
+
+
+@query("backtest_predictions")
+def backtest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = pf.PortfolioConfig(cash=1e8, max_positions=10, rebalance="weekly", allocation="score")
+    out = pf.backtest_predictions(brand_week_bars(spark, sf_dir), _panel(spark, sf_dir).select("symbol", "date", "pred"), config=config)
+    return out.select(*(F.round(c, 6).alias(c) for c in ("net_return", "gross_return", "cost_drag", "benchmark_return", "excess_return")), "n_symbols")
 
 
 @query("equal_weight_bh", f"WITH {WEEK}, a AS (SELECT symbol, arg_max(close, date) / arg_min(close, date) - 1 AS x FROM bars GROUP BY 1) SELECT {r('avg(x)')} AS equal_weight_return, count(*) AS n_symbols FROM a")

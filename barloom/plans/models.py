@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.lineage import shared_folder
 from barloom.functions.panel import div, lag
 from barloom.operators import evaluate, ml
 from barloom.operators import signals as sig
@@ -149,13 +148,7 @@ def payload_array_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        import atexit
-
-        root = tempfile.mkdtemp(prefix="barloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("stream_bars", f"WITH {events_sql()} SELECT symbol, date, {r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close, volume FROM bars")
