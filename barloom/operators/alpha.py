@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.functions.panel import div, holds, in_order, lag, last_n, lead, over_full, rolling_corr
+from barloom.functions.panel import div, in_order, lead
 
 WINDOWS = (5, 10, 20, 30, 60)
 EPS = 1e-12
@@ -39,92 +44,130 @@ def prices(bars: DataFrame) -> dict[str, Column]:
     return {"OPEN0": div(F.col("open"), c), "HIGH0": div(F.col("high"), c), "LOW0": div(F.col("low"), c), "VWAP0": div(average, c)}
 
 
-def prepared(bars: DataFrame) -> DataFrame:
-    """What the rolling features share: row number, changes and ratios."""
-    c, v = F.col("close"), F.col("volume")
-    out = bars.withColumns({"__rn": F.row_number().over(in_order()).cast("double"), "__c1": lag("close"), "__v1": lag("volume")})
-    up, rise = c - F.col("__c1"), v - F.col("__v1")
-    ratio = div(v, F.col("__v1"))
-    return out.withColumns(
-        {
-            "__dc": up,
-            "__dv": rise,
-            "__up": holds(c > F.col("__c1")).cast("double"),
-            "__down": holds(c < F.col("__c1")).cast("double"),
-            "__lnv": F.ln(v + EPS),
-            "__rc": div(c, F.col("__c1")),
-            "__rv": F.ln(ratio + 1),
-            "__infinite": (F.col("__v1") == 0).cast("double"),
-            "__w": F.abs(div(c, F.col("__c1")) - 1) * v,
-        }
-    )
-
-
-def rolling(d: int) -> dict[str, Column]:
-    """The features over d bars, of a frame that :func:`prepared` made."""
-    frame = last_n(d)
-    c, v = F.col("close"), F.col("volume")
-
-    def over(value: Column, *inputs: str) -> Column:
-        return over_full(d, value, *inputs)
-
-    def both(name: str, change: str) -> dict[str, Column]:
-        total = over(F.sum(F.abs(F.col(change))), change) + EPS
-        plus, minus = (over(F.sum(F.greatest(x, F.lit(0.0))), change) / total for x in (F.col(change), -F.col(change)))
+def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, unknown where b is zero."""
+    return a / np.where(b == 0, np.nan, b)
+
+
+def _correlated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The correlation of each window's pairs, unknown where a side is constant."""
+    flat = (x.max(axis=1) == x.min(axis=1)) | (y.max(axis=1) == y.min(axis=1))
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    spread = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    return np.where(flat, np.nan, (x * y).sum(axis=1) / np.where(flat, np.nan, spread))
+
+
+def rolling(d: int, kinds: set[str], rn: np.ndarray, close: np.ndarray, high: np.ndarray, low: np.ndarray, volume: np.ndarray) -> dict[str, np.ndarray]:
+    """The features of ``kinds`` over d bars, for bars of one symbol after another; rn numbers a symbol's bars from 1.
+
+    A feature is unknown (NaN) before a symbol's d-th bar, and where its window
+    holds an unknown input.
+    """
+    out: dict[str, np.ndarray] = {}
+
+    def windows(x: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(d - 1, np.nan), x]), d)
+
+    def before(x: np.ndarray, n: int) -> np.ndarray:
+        y = np.concatenate([np.full(n, np.nan), x])[: len(x)]
+        return np.where(rn > n, y, np.nan)
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        return windows(x).mean(axis=1)
+
+    def deviation(x: np.ndarray) -> np.ndarray:
+        w = windows(x)
+        return np.sqrt(np.square(w - w.mean(axis=1, keepdims=True)).sum(axis=1) / (d - 1))
+
+    def both(name: str, change: np.ndarray) -> dict[str, np.ndarray]:
+        w = windows(change)
+        total = np.abs(w).sum(axis=1) + EPS
+        plus, minus = np.maximum(w, 0).sum(axis=1) / total, np.maximum(-w, 0).sum(axis=1) / total
         return {f"{name}P": plus, f"{name}N": minus, f"{name}D": plus - minus}
 
-    def since(extreme: Column, column: str) -> Column:
-        """Bars since the first row of the window that holds the extreme."""
-        values = F.collect_list(column).over(frame)
-        return F.when(F.count(column).over(frame) >= d, (F.size(values) - F.array_position(values, extreme.over(frame))).cast("double"))
-
-    slope = over(F.regr_slope("close", "__rn"), "close")
-    mean = over(F.avg("close"), "close")
-    spread = F.var_pop("close").over(frame)
-    fit = F.when(spread > 0, F.regr_r2("close", "__rn").over(frame))
-    high, low = over(F.max("high"), "high"), over(F.min("low"), "low")
-    values = F.collect_list("close").over(frame)
-    below, equal = F.size(F.filter(values, lambda x: x < c)), F.size(F.filter(values, lambda x: x == c))
-    to_high, to_low = since(F.max("high"), "high"), since(F.min("low"), "low")
-    cord = rolling_corr("__rc", "__rv", d)
-    up, down = over(F.avg("__up"), "__up"), over(F.avg("__down"), "__down")
-    out = {
-        "ROC": div(lag("close", d), c),
-        "MA": div(mean, c),
-        "STD": div(over(F.stddev_samp("close"), "close"), c),
-        "BETA": div(slope, c),
-        "RSQR": F.when(F.count("close").over(frame) >= d, fit),
-        "RESI": div(c - (mean + slope * ((d - 1) / 2)), c),
-        "MAX": div(high, c),
-        "MIN": div(low, c),
-        "QTLU": div(over(F.percentile("close", F.lit(0.8)), "close"), c),
-        "QTLD": div(over(F.percentile("close", F.lit(0.2)), "close"), c),
-        "RANK": F.when(F.count("close").over(frame) >= d, (below + (equal + 1) / 2) / d),
-        "RSV": (c - low) / (high - low + EPS),
-        "IMAX": to_high / d,
-        "IMIN": to_low / d,
-        "IMXD": (to_high - to_low) / d,
-        "CORR": rolling_corr("close", "__lnv", d),
-        "CORD": F.when(F.coalesce(F.max("__infinite").over(frame), F.lit(0.0)) == 0, cord),
-        "CNTP": up,
-        "CNTN": down,
-        "CNTD": up - down,
-        **both("SUM", "__dc"),
-        "VMA": over(F.avg("volume"), "volume") / (v + EPS),
-        "VSTD": over(F.stddev_samp("volume"), "volume") / (v + EPS),
-        "WVMA": over(F.stddev_samp("__w"), "__w") / (over(F.avg("__w"), "__w") + EPS),
-        **both("VSUM", "__dv"),
-    }
-    return {f"{k}{d}": out[k] for k in ROLLING}
-
-
-def panel(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, names: list[str] | None = None, least: int | None = None) -> DataFrame:
-    """symbol, date and the features (all, or ``names``) of symbols with at least ``least`` bars (the longest window and ten)."""
+    was, volume_was = before(close, 1), before(volume, 1)
+    c = windows(close)
+    if kinds & {"ROC"}:
+        out["ROC"] = _divided(before(close, d), close)
+    if kinds & {"MA", "STD"}:
+        out |= {"MA": _divided(mean(close), close), "STD": _divided(deviation(close), close)}
+    if kinds & {"BETA", "RSQR", "RESI"}:
+        k = np.arange(d) - (d - 1) / 2
+        middle = c.mean(axis=1)
+        slope = (c * k).sum(axis=1) / (k * k).sum()
+        spread = np.square(c - middle[:, None]).sum(axis=1)
+        flat = c.max(axis=1) == c.min(axis=1)
+        out |= {"BETA": _divided(slope, close), "RSQR": slope**2 * (k * k).sum() / np.where(flat, np.nan, spread), "RESI": _divided(close - (middle + slope * ((d - 1) / 2)), close)}
+    if kinds & {"MAX", "MIN", "RSV", "IMAX", "IMIN", "IMXD"}:
+        top, bottom = windows(high), windows(low)
+        most, least = top.max(axis=1), bottom.min(axis=1)
+        since_top, since_bottom = (np.where(np.isnan(x), np.nan, d - 1 - i) for x, i in ((most, top.argmax(axis=1)), (least, bottom.argmin(axis=1))))
+        out |= {"MAX": _divided(most, close), "MIN": _divided(least, close), "RSV": (close - least) / (most - least + EPS), "IMAX": since_top / d, "IMIN": since_bottom / d, "IMXD": (since_top - since_bottom) / d}
+    if kinds & {"QTLU", "QTLD"}:
+        order = np.sort(c, axis=1)  # unknown values last
+        order[np.isnan(order[:, -1])] = np.nan
+        for name, share in (("QTLU", 0.8), ("QTLD", 0.2)):
+            at, part = divmod((d - 1) * share, 1)
+            lower, upper = order[:, int(at)], order[:, min(int(at) + 1, d - 1)]
+            out[name] = _divided(lower * (1 - part) + upper * part, close)
+    if kinds & {"RANK"}:
+        known = np.where(np.isnan(c).any(axis=1), np.nan, 1.0)
+        out["RANK"] = known * ((c < close[:, None]).sum(axis=1) + ((c == close[:, None]).sum(axis=1) + 1) / 2) / d
+    if kinds & {"CORR"}:
+        out["CORR"] = _correlated(c, windows(np.log(volume + EPS)))
+    if kinds & {"CORD"}:
+        out["CORD"] = _correlated(windows(_divided(close, was)), windows(np.log(_divided(volume, volume_was) + 1)))
+    if kinds & {"CNTP", "CNTN", "CNTD"}:
+        up, down = mean((close > was).astype(float)), mean((close < was).astype(float))
+        out |= {"CNTP": up, "CNTN": down, "CNTD": up - down}
+    if kinds & {"SUMP", "SUMN", "SUMD"}:
+        out |= both("SUM", close - was)
+    if kinds & {"VMA", "VSTD"}:
+        out |= {"VMA": mean(volume) / (volume + EPS), "VSTD": deviation(volume) / (volume + EPS)}
+    if kinds & {"WVMA"}:
+        moved = np.abs(_divided(close, was) - 1) * volume
+        out["WVMA"] = deviation(moved) / (mean(moved) + EPS)
+    if kinds & {"VSUMP", "VSUMN", "VSUMD"}:
+        out |= both("VSUM", volume - volume_was)
+    return {f"{k}{d}": np.where(rn >= d, x, np.nan) for k, x in out.items() if k in kinds}
+
+
+def panel(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, names: list[str] | None = None, least: int | None = None, horizon: int | None = None) -> DataFrame:
+    """symbol, date and the features (all, or ``names``) of symbols with at least ``least`` bars (the longest window and ten); with ``horizon``, the label of :func:`forward_return` too.
+
+    One exchange by symbol.  The rolling features are taken from a symbol's bars
+    in order as they stream by, in whole arrays over all symbols of an Arrow
+    batch; of what went before, only the longest window is kept.
+    """
     least = max(windows) + 10 if least is None else least
-    enough = bars.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(F.col("__n") >= least)
-    made = shapes() | prices(bars) | {k: v for d in windows for k, v in rolling(d).items()}
     wanted = names or feature_names(windows)
-    return prepared(enough).select("symbol", "date", *(made[n].alias(n) for n in wanted))
+    still = shapes() | prices(bars)
+    moving = {n: (d, k) for k in ROLLING for d in windows if (n := f"{k}{d}") in wanted}
+    out = bars.repartition("symbol").withColumns({"__n": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "__rn": F.row_number().over(in_order())})
+    keep = ["symbol", "date"]
+    if horizon is not None:
+        out, keep = out.withColumn("label", div(lead("close", horizon), F.col("close")) - 1), [*keep, "label"]
+    kept = [*keep, *(n for n in wanted if n in still)]
+    out = out.filter(F.col("__n") >= least).select(*keep, *(still[n].alias(n) for n in kept if n in still), F.col("__rn").cast("double").alias("__rn"), *(F.col(c).cast("double").alias(f"__{c}") for c in ("close", "high", "low", "volume")))
+    out = out.sortWithinPartitions("symbol", "date")
+    schema = T.StructType([out.schema[n] if n in kept else T.StructField(n, T.DoubleType()) for n in [*keep, *wanted]])
+    by_length: dict[int, set[str]] = {}
+    for d, k in moving.values():
+        by_length.setdefault(d, set()).add(k)
+    reach = max(by_length, default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((5, 0))
+        for batch in batches:
+            new = np.vstack([batch.column(len(kept) + i).to_numpy(zero_copy_only=False) for i in range(5)])
+            whole = np.hstack([last, new])
+            with np.errstate(all="ignore"):
+                made = {n: x[last.shape[1] :] for d, kinds in by_length.items() for n, x in rolling(d, kinds, *whole).items()}
+            last = whole[:, max(0, whole.shape[1] - reach) :]
+            columns = [batch.column(kept.index(n)) if n in kept else pa.array(made[n], pa.float64(), from_pandas=True) for n in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return out.mapInArrow(run, schema) if moving else out.select(*schema.names)
 
 
 def forward_return(bars: DataFrame, horizon: int = 5) -> DataFrame:

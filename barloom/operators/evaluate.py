@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.panel import average_rank, grouped_corr
 
@@ -102,14 +105,45 @@ def verdict(report: DataFrame) -> DataFrame:
     return report.withColumn("verdict", F.coalesce(ladder, F.lit("usable")))
 
 
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks down each column, ties averaged."""
+    n = len(x)
+    order = np.argsort(x, axis=0)
+    ordered = np.take_along_axis(x, order, axis=0)
+    place = np.broadcast_to(np.arange(n)[:, None], x.shape)
+    new = np.ones(x.shape, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=0)
+    ends = np.ones(x.shape, bool)
+    ends[:-1] = new[1:]
+    last = np.minimum.accumulate(np.where(ends, place, n)[::-1], axis=0)[::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2, axis=0)
+    return out
+
+
 def ic_matrix(panel: DataFrame, features: list[str], label: str = "label", min_stocks: int = MIN_STOCKS) -> DataFrame:
-    """(feature, date, ic) of all features at once, over rows that have every feature and the label."""
-    rows = panel.dropna(subset=[*features, label])
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).filter(F.col("n") >= min_stocks)
-    rows = rows.withColumn("__l", average_rank(label, "date"))
-    long = rows.select("date", "__l", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features))).alias("e")).select("date", "__l", "e.*")
-    long = long.withColumn("__x", average_rank("x", "feature", "date"))
-    return long.groupBy("feature", "date").agg(F.coalesce(grouped_corr(F.col("__x"), F.col("__l")), F.lit(0.0)).alias("ic"))
+    """(feature, date, ic) of all features at once, over rows that have every feature and the label.
+
+    One exchange by date of the wide rows; a date's symbols, which bound a
+    group, are ranked for all features together.
+    """
+    rows = panel.select("date", label, *features)
+    schema = T.StructType([T.StructField("feature", T.StringType()), panel.schema["date"], T.StructField("ic", T.DoubleType())])
+
+    def run(day: pa.Table) -> pa.Table:
+        known = np.column_stack([day[c].to_numpy().astype(float) for c in (label, *features)])
+        known = known[~np.isnan(known).any(axis=1)]
+        if len(known) < min_stocks:
+            return pa.table({"feature": pa.array([], pa.string()), "date": day["date"].slice(0, 0), "ic": pa.array([], pa.float64())})
+        ranks = _average_ranks(known)
+        ranks -= ranks.mean(axis=0)
+        y, x = ranks[:, :1], ranks[:, 1:]
+        spread = np.sqrt((x * x).sum(axis=0) * (y * y).sum())
+        ic = np.divide((x * y).sum(axis=0), spread, out=np.zeros(len(features)), where=spread > 0)
+        return pa.table({"feature": features, "date": pa.chunked_array([day["date"].combine_chunks().take(pa.array([0] * len(features)))]), "ic": ic})
+
+    return rows.groupBy("date").applyInArrow(run, schema)
 
 
 def factor_scan(panel: DataFrame, features: list[str], label: str = "label", horizon: int = 5, top: int = 20) -> DataFrame:

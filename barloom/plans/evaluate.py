@@ -189,8 +189,7 @@ _MATRIX = matrix_sql(SCANNED)
 
 
 def _features(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    bars = brand_week_bars(spark, sf_dir)
-    return alpha.panel(bars, names=names).join(alpha.forward_return(bars), ["symbol", "date"])
+    return alpha.panel(brand_week_bars(spark, sf_dir), names=names, horizon=5)
 
 
 @query("ic_matrix", f"WITH {WEEK}, {_MATRIX} SELECT feature, date, {r('ic')} AS ic FROM icm")
@@ -206,16 +205,26 @@ def factor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(evaluate.factor_scan(_features(spark, sf_dir, SCANNED), SCANNED, top=8), "ic_mean", "icir", "t_stat", "t_stat_nw", "ic_win_rate", keys=("feature", "n_days"))
 
 
-@query("ic_matrix_all")
+@query("ic_matrix_all", f"WITH {WEEK}, {matrix_sql(ALL)} SELECT feature, date, {r('ic')} AS ic FROM icm")
 def ic_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ic_matrix of all features."""
     return shown(evaluate.ic_matrix(_features(spark, sf_dir, ALL), ALL), "ic", keys=("feature", "date"))
 
 
-@query("factor_scan_all")
+#: The split of the dates that have a label, and the features of its test part.
+_TEST = f"{SPLIT.replace('FROM bars', 'FROM dated')}, tested AS (SELECT * FROM feat WHERE date IN (SELECT date FROM split WHERE split = 'test')), full_rows"
+_ALL_TEST = matrix_sql(ALL).replace("full_rows", "dated AS (SELECT date FROM feat WHERE label IS NOT NULL), " + _TEST, 1).replace("FROM feat WHERE KMID", "FROM tested WHERE KMID")
+
+
+@query(
+    "factor_scan_all",
+    f"WITH {WEEK}, {_ALL_TEST}, s AS (SELECT * FROM {summary_sql('icm', 'feature')}) SELECT feature, n_days, {', '.join(f'{r(c)} AS {c}' for c in ('ic_mean', 'icir', 't_stat', 't_stat_nw', 'ic_win_rate'))} FROM s ORDER BY abs(ic_mean) DESC, feature LIMIT 15",
+)
 def factor_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 features of largest mean coefficient among all, on the test part."""
-    test = cs.purged_split(_features(spark, sf_dir, ALL).dropna(subset=["label"]), embargo=5).filter("split = 'test'")
+    dates = alpha.panel(brand_week_bars(spark, sf_dir), names=["KMID"], horizon=5).dropna(subset=["label"]).select("date")
+    split = cs.purged_split(dates.distinct(), embargo=5).filter("split = 'test'").select("date", "split")
+    test = _features(spark, sf_dir, ALL).join(split, "date")
     return shown(evaluate.factor_scan(test, ALL, top=15), "ic_mean", "icir", "t_stat", "t_stat_nw", "ic_win_rate", keys=("feature", "n_days"))
 
 
