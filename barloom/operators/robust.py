@@ -75,11 +75,11 @@ def plateau(sweep: DataFrame, params: list[str], metric: str = "sharpe", share:
     Parameters that are no numbers or have one value only are left out; 0 where none is left.
     """
     best = Window.partitionBy("symbol").orderBy(F.col(metric).desc(), "case")
-    rows = sweep.withColumns({"__k": F.row_number().over(best), "__n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    rows = sweep.withColumns({"__place": F.row_number().over(best), "__cases": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
     value = lambda p: F.expr(f"try_cast(regexp_extract(case, '(?:^|,){p}=([^,]*)', 1) AS double)")
-    rows = rows.withColumns({f"__{p}": value(p) for p in params})
-    top = F.col("__k") <= F.greatest(F.lit(2), F.floor(F.col("__n") * share))
-    spread = [F.try_divide(F.stddev_pop(F.when(top, F.col(f"__{p}"))), F.max(f"__{p}") - F.min(f"__{p}")) for p in params]
+    rows = rows.withColumns({f"__of_{p}": value(p) for p in params})
+    top = F.col("__place") <= F.greatest(F.lit(2), F.floor(F.col("__cases") * share))
+    spread = [F.try_divide(F.stddev_pop(F.when(top, F.col(f"__of_{p}"))), F.max(f"__of_{p}") - F.min(f"__of_{p}")) for p in params]
     known = rows.groupBy("symbol").agg(F.array_compact(F.array(*spread).cast("array<double>")).alias("s"))
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
     return known.select("symbol", F.when(F.size("s") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean / 0.29))).otherwise(0.0).alias("plateau"))
