@@ -6,10 +6,17 @@ payload of their own.  Records are written by Spark's text writer with the
 record separator as its line separator, so archives are committed as any other
 output and lie wherever Spark can write.
 
+An archive holds at most ``RECORDS`` records of pages up to ``LARGE`` bytes each,
+and a larger page has an archive of its own, so an archive's size is bounded by
+these and by the largest page.
+
 Reading parses each archive by its content lengths, tests the digests, and
-gives a run of captures sorted by URL key, time and page id.  The runs are
-merged into one order: ranges of that order are dealt out, and a task merges the
-pieces of all runs in its range by a loser tree.
+gives a run of captures sorted by URL key, time and page id, each with its
+archive, offset and length there.  The runs are merged into one order, whose
+ties are broken by archive and offset: ranges of it, of about ``RANGE`` captures,
+are dealt out, and a task merges the pieces of all runs in its range by a loser
+tree.  Pieces stay in Arrow's columns; of each only ``AHEAD`` captures at a time
+are Python rows.
 
 Defined results: a null page is an empty payload; a null URL is written as
 ``-``; blanks and control characters in a URL are percent-encoded; a null page
@@ -27,18 +34,22 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import materialise, scratch_path
 
 MIN_PAYLOAD = 0
-RECORDS = 1000  # in an archive file, at most
+RECORDS = 500  # in an archive file, at most
+LARGE = 1 << 18  # bytes of a page beyond which it has an archive of its own
+RANGE = 100_000  # captures that a task merges, about
+AHEAD = 256  # captures of a piece that are read ahead
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Pages carry no time of their own: second ``page_id`` after the start of 2020, UTC.
 EPOCH = 1_577_836_800
-CAPTURE = "url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+CAPTURE = "url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -98,12 +109,14 @@ def records(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> None:
-    """Gzipped archives of at most RECORDS records each in the folder ``path``."""
-    records(pages, min_payload).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    """Gzipped archives in the folders ``small`` and ``large`` of ``path``.  Equal pages are of one size, so each folder has its own responses."""
+    large = F.coalesce(F.octet_length("html"), F.lit(0)) > LARGE
+    for name, part, most in (("small", pages.filter(~large), RECORDS), ("large", pages.filter(large), 1)):
+        records(part, min_payload).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record; raises ValueError where the archive is damaged."""
+def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """(header fields in lower case, block, offset, length) of each record of an unpacked archive; raises ValueError where the archive is damaged."""
     at = 0
     while at < len(data):
         head = data.find(b"\r\n\r\n", at)
@@ -116,7 +129,7 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = head + 4 + int(fields["content-length"])
         if data[end : end + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} has no end mark")
-        yield fields, data[head + 4 : end]
+        yield fields, data[head + 4 : end], at, end + 4 - at
         at = end + 4
 
 
@@ -133,7 +146,7 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def _capture(fields: dict[str, str], block: bytes) -> tuple:
+def _capture(file: str, fields: dict[str, str], block: bytes, offset: int, length: int) -> tuple:
     head, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -142,56 +155,57 @@ def _capture(fields: dict[str, str], block: bytes) -> tuple:
         if found != digest:
             raise ValueError(f"wrong payload digest in {fields['warc-record-id']}")
     number = lambda name: int(fields[name]) if name in fields else None
-    return url_key(fields["warc-target-uri"]), fields["warc-date"], number("x-page-id"), fields["warc-target-uri"], fields["warc-type"], size, digest, number("x-refers-to-page")
+    return url_key(fields["warc-target-uri"]), fields["warc-date"], number("x-page-id"), fields["warc-target-uri"], fields["warc-type"], size, digest, number("x-refers-to-page"), file, offset, length
+
+
+ORDER = ("url_key", "captured", "page_id", "file", "offset")
 
 
 def merge_order(capture: tuple) -> tuple:
-    """By URL key in UTF-8 order, time, page id (null first)."""
-    return capture[0].encode(), capture[1], capture[2] is not None, capture[2] or 0
+    """By URL key in UTF-8 order, time, page id (null first), archive and offset there."""
+    return capture[0].encode(), capture[1], capture[2] is not None, capture[2] or 0, capture[8].encode(), capture[9]
 
 
 _NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
 _KINDS = [pa.int64() if x.endswith("long") else pa.string() for x in CAPTURE.split(", ")]
 
 
-def _batch(captures: list[tuple], more: dict[str, list] | None = None) -> pa.RecordBatch:
+def _batch(captures: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*captures, strict=True)) if captures else [()] * len(_NAMES)
-    arrays = [pa.array(list(c), t) for c, t in zip(columns, _KINDS, strict=True)]
-    extra = {k: pa.array(v, pa.string()) for k, v in (more or {}).items()}
-    return pa.RecordBatch.from_arrays([*arrays, *extra.values()], [*_NAMES, *extra])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of each archive as a sorted run, named by its file (``run``)."""
+    """The captures of each archive as a sorted run, named by its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = data.as_py()
                 raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                captures = sorted((_capture(f, b) for f, b in parse_archive(raw)), key=merge_order)
-                yield _batch(captures, {"run": [name] * len(captures)})
+                yield _batch(sorted((_capture(name, *record) for record in parse_archive(raw)), key=merge_order))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, f"{CAPTURE}, run string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return files.mapInArrow(run, CAPTURE)
 
 
 class LoserTree:
-    """Merges sorted lists: each inner node keeps the run that lost there, and the next item replays one path."""
+    """Merges sorted runs: each inner node keeps the run that lost there, and the next item replays one path."""
 
-    def __init__(self, runs: list[list[tuple]]):
+    def __init__(self, runs: list[Iterator[tuple]]):
         self.runs = runs
-        self.at = [0] * len(runs)
         self.size = max(1, len(runs))
-        self.key = [self._head(k) for k in range(self.size)]
+        self.item: list[tuple | None] = [None] * self.size
+        self.key: list[tuple] = [(True,)] * self.size
+        for k in range(len(runs)):
+            self._advance(k)
         self.loser = [-1] * self.size
         self.winner = self._play(1) if runs else -1
 
-    def _head(self, k: int) -> tuple:
-        """(False, key, run) of the run's next item, (True,) after its end."""
-        if k >= len(self.runs) or self.at[k] >= len(self.runs[k]):
-            return (True,)
-        return False, merge_order(self.runs[k][self.at[k]]), k
+    def _advance(self, k: int) -> None:
+        """The run's next item; its key is (False, order, run), (True,) after its end."""
+        self.item[k] = next(self.runs[k], None)
+        self.key[k] = (True,) if self.item[k] is None else (False, merge_order(self.item[k]), k)
 
     def _play(self, node: int) -> int:
         if node >= self.size:
@@ -205,9 +219,8 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple]:
         while self.winner >= 0 and not self.key[self.winner][0]:
             k = self.winner
-            yield self.runs[k][self.at[k]]
-            self.at[k] += 1
-            self.key[k] = self._head(k)
+            yield self.item[k]
+            self._advance(k)
             node = (k + self.size) // 2
             while node:
                 if self.key[self.loser[node]] < self.key[k]:
@@ -216,26 +229,32 @@ class LoserTree:
             self.winner = k
 
 
+def _read(piece: pa.Table) -> Iterator[tuple]:
+    """A run's piece, in order although its blocks may arrive in another than they were written in."""
+    piece = piece.take(pc.sort_indices(piece, [(c, "ascending") for c in ORDER], null_placement="at_start"))
+    for k in range(0, len(piece), AHEAD):
+        yield from zip(*(c.to_pylist() for c in piece.slice(k, AHEAD).columns), strict=True)
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in order of URL key, time and page id: one range of it a partition."""
+    """All captures in order of URL key, time, page id and place: one range of it a partition."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
+        pieces: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for *capture, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces.setdefault(name, []).append(tuple(capture))
-        for piece in pieces.values():  # blocks of a run can arrive in another order than it was written in
-            if any(merge_order(a) > merge_order(b) for a, b in zip(piece, piece[1:], strict=False)):
-                piece.sort(key=merge_order)
+            files = batch.column(8).dictionary_encode()
+            for k, name in enumerate(files.dictionary.to_pylist()):
+                pieces.setdefault(name, []).append(batch.filter(pc.equal(files.indices, k)))
         held: list[tuple] = []
-        for capture in LoserTree(list(pieces.values())):
+        for capture in LoserTree([_read(pa.Table.from_batches(piece)) for piece in pieces.values()]):
             held.append(capture)
             if len(held) == 10_000:
                 yield _batch(held)
                 held = []
         yield _batch(held)
 
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(merged, CAPTURE)
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE))
+    return runs.repartitionByRange(ranges, *ORDER).mapInArrow(merged, CAPTURE)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, min_payload: int = MIN_PAYLOAD) -> DataFrame:

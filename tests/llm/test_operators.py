@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -316,6 +317,31 @@ def test_capture_histories_are_ordered(spark, folder):
     assert each(rows) == sorted(each(rows))
 
 
+def test_captures_lead_to_their_records(spark, folder, tmp_path, monkeypatch):
+    """Each capture's archive, offset and length give its record; a large page has an archive of its own."""
+    monkeypatch.setattr(warc, "LARGE", 3000)
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    rows = warc.capture_histories(pages, str(tmp_path / "archives")).collect()
+    assert len(rows) == pages.count()
+    raw = {}
+    for r in rows:
+        data = raw.setdefault(r.file, gzip.decompress(open(r.file.removeprefix("file:"), "rb").read()))
+        ((fields, block, at, length),) = warc.parse_archive(data[r.offset : r.offset + r.length])
+        assert (fields.get("x-page-id"), at, length) == (None if r.page_id is None else str(r.page_id), 0, r.length)
+        if r.record_type == "response":
+            assert len(block.partition(b"\r\n\r\n")[2]) == r.payload_bytes
+    large = [r for r in rows if r.payload_bytes > 3000]
+    assert large and len({r.file for r in large}) == len(large) and all("/large/" in r.file for r in large)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 16])
+def test_loser_tree(n):
+    rng = random.Random(n)
+    capture = lambda k, i: (f"k{rng.randint(0, 9)}", f"t{rng.randint(0, 3)}", rng.choice([None, 1, 2]), "u", "response", 0, "d", None, f"f{k}", i, 1)
+    runs = [sorted((capture(k, i) for i in range(rng.randint(0, 30))), key=warc.merge_order) for k in range(n)]
+    assert list(warc.LoserTree([iter(r) for r in runs])) == sorted((x for r in runs for x in r), key=warc.merge_order)
+
+
 def test_media(found, texts):
     for i, r in found("op7_media").items():
         raw = (texts[i] or "").encode()
