@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.plans import backtests, bars, evaluate, models, operations, signals, technical
+from barloom.plans import backtests, bars, evaluate, models, operations, signals, stores, technical
 from barloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "backtests", "bars", "evaluate", "models", "operations", "signals", "technical"]
+__all__ = ["ORACLE_SQL", "QUERIES", "backtests", "bars", "evaluate", "models", "operations", "signals", "stores", "technical"]

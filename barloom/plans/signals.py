@@ -71,6 +71,33 @@ for _name, _parts in SINGLE.items():
     _single(_name, *_parts)
 
 
+_UPPER, _LOWER = full(20, "max(high)", "high", prev(20)), full(20, "min(low)", "low", prev(20))
+_WITHIN = "greatest(-1, least(1, coalesce({}, 0)))"
+SCORES = {
+    "score_rsi": (sig.rsi_score, f"{rsi_sql()}, f AS (SELECT symbol, date, {_WITHIN.format('(50 - rsi) / 30.0')} AS score FROM rsi)"),
+    "score_turtle": (
+        sig.turtle_score,
+        f"""{adx_sql()}, tc AS (SELECT *, {_UPPER} AS u, {_LOWER} AS l FROM adx),
+f AS (SELECT symbol, date, {_WITHIN.format("(close - (u + l) / 2) / nullif((u - l) / 2, 0) * least(adx / 20, 1)")} AS score FROM tc)""",
+    ),
+    "score_atr_channel": (
+        sig.atr_channel_score,
+        f"""{atr_sql(20)}, {ewm("ce", "atrx", "close", "2.0 / 21")},
+f AS (SELECT atr.symbol, atr.date, {_WITHIN.format("(close - ce.y) / nullif(2 * atr, 0)")} AS score FROM atr JOIN ce USING (symbol, rn))""",
+    ),
+}
+
+
+def _score(name: str, strategy: sig.Strategy, ctes: str) -> None:
+    @query(name, f"WITH RECURSIVE {WEEK}, {ctes} SELECT symbol, date, {r('score')} AS score FROM f")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return strategy(brand_week_bars(spark, sf_dir)).select("symbol", "date", rounded("score").alias("score"))
+
+
+for _name, _parts in SCORES.items():
+    _score(_name, *_parts)
+
+
 def crossing(score: str, source: str, name: str, buy: float, sell: float) -> str:
     up, down = f"coalesce({score} >= {buy}, false)", f"coalesce({score} <= {sell}, false)"
     return f"""{name}z AS (SELECT *, {up} AS up, {down} AS down FROM {source}), {name} AS (SELECT symbol, date, {ternary(f"up AND NOT coalesce({lagged('up')}, false)", f"down AND NOT coalesce({lagged('down')}, false)")} AS signal FROM {name}z)"""
