@@ -64,18 +64,23 @@ def settle(recos: DataFrame, bars: DataFrame, index_bars: DataFrame) -> DataFram
     """Recommendations (reco_date, symbol, strategy, entry_price, horizon) with their exit: the close of the ``horizon``-th bar after the date.
 
     status is open where there are not enough bars; excess is over the index
-    between the same bars' dates.  Bars are numbered once; the exit is an
-    equality join on symbol and number.
+    between the same bars' dates.  Bars are numbered once.  The last bar up to a
+    date is found by a window over bars and recommendations together, the exit by
+    an equality join on symbol and number; repeated recommendations stay apart.
     """
     numbered = bars.select("symbol", "date", "close", F.row_number().over(in_order()).alias("n"))
-    before = recos.join(numbered.select("symbol", "date", "n"), "symbol", "left").withColumn("__at", F.when(F.col("date") <= F.col("reco_date"), F.col("n")))
     key = ["reco_date", "symbol", "strategy", "entry_price", "horizon"]
-    placed = before.groupBy(*key).agg(F.coalesce(F.max("__at"), F.lit(0)).alias("__k")).withColumn("n", F.col("__k") + F.col("horizon"))
+    asked = recos.select("symbol", F.col("reco_date").alias("date"), F.lit(None).cast("int").alias("n"), F.struct(*key).alias("__reco"))
+    both = numbered.select("symbol", "date", "n").withColumn("__reco", F.lit(None).cast(asked.schema["__reco"].dataType)).unionByName(asked)
+    upto = Window.partitionBy("symbol").orderBy("date", F.col("__reco").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("__at", F.coalesce(F.last("n", ignorenulls=True).over(upto), F.lit(0))).filter("__reco is not null").select("__reco.*", "__at")
+    placed = placed.withColumn("n", F.col("__at") + F.col("horizon")).drop("__at")
     out = placed.join(numbered.select("symbol", "n", F.col("date").alias("exit_date"), F.col("close").alias("exit_price")), ["symbol", "n"], "left")
-    index = index_bars.select(F.col("date").alias("__d"), F.col("close").alias("__c"))
-    last = lambda c: F.max_by(F.when(F.col("__d") <= F.col(c), F.col("__c")), F.when(F.col("__d") <= F.col(c), F.col("__d")))
-    span_ = out.select("reco_date", "exit_date").distinct().crossJoin(F.broadcast(index)).groupBy("reco_date", "exit_date").agg(last("reco_date").alias("bench_entry"), last("exit_date").alias("bench_exit"))  # an index has few dates
-    out = out.join(span_, (out.reco_date == span_.reco_date) & out.exit_date.eqNullSafe(span_.exit_date), "left").drop(span_.reco_date).drop(span_.exit_date)
+    dates = out.select(F.explode(F.array("reco_date", "exit_date")).alias("__d")).filter("__d is not null").distinct()
+    index = index_bars.select(F.col("date").alias("__d"), F.col("close").alias("__c"), F.lit(0).alias("__ask")).unionByName(dates.withColumns({"__c": F.lit(None).cast("double"), "__ask": F.lit(1)}))
+    known = index.withColumn("__c", F.last("__c", ignorenulls=True).over(Window.orderBy("__d", "__ask"))).filter("__ask = 1")  # the dates of a calendar
+    for name, date in (("bench_entry", "reco_date"), ("bench_exit", "exit_date")):
+        out = out.join(known.select(F.col("__d").alias(date), F.col("__c").alias(name)), date, "left")
     gain = F.try_divide("exit_price", "entry_price") - 1
     return out.select(*key, "exit_date", "exit_price", F.when(F.col("exit_price").isNull(), "open").otherwise("closed").alias("status"), gain.alias("return"), (gain - (F.try_divide("bench_exit", "bench_entry") - 1)).alias("excess"))
 

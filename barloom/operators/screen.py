@@ -93,10 +93,12 @@ def monitor_facts(bars: DataFrame) -> DataFrame:
 def fired(facts: DataFrame, rules: DataFrame, positions: DataFrame | None = None, calendar: DataFrame | None = None) -> DataFrame:
     """rule_id, symbol, date, type: which rules hold.  A rule without a symbol is about all of them.
 
-    rules are few and broadcast; positions: symbol, stop_loss, take_profit;
-    calendar: symbol, event_date.
+    Rules about a symbol meet its facts by an equality join; those about all of
+    them meet every fact.  positions: symbol, stop_loss, take_profit; calendar:
+    symbol, event_date.
     """
-    rows_ = facts.join(F.broadcast(rules.withColumnRenamed("symbol", "__rule_symbol")), F.col("__rule_symbol").isNull() | (F.col("__rule_symbol") == F.col("symbol")))
+    general = facts.crossJoin(rules.filter("symbol is null").drop("symbol"))
+    rows_ = facts.join(rules.filter("symbol is not null"), "symbol").unionByName(general)
     if positions is not None:
         rows_ = rows_.join(positions.select("symbol", "stop_loss", "take_profit"), "symbol", "left")
     else:
