@@ -529,3 +529,19 @@ def test_pii_offsets_over_blocks(spark, n):
     kept = frame.select(pii._apart(F.col("spans")).alias("x"), pii._once(pii._blocks("spans"), lambda b: F.filter(F.col("spans"), lambda x: ~pii._meets(b, x))).alias("y")).first()
     want = [x for k, x in enumerate(spans) if k % 2 == 0]
     assert [(x.s, x.e) for x in kept.x] == want and kept.y == []
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op1_mixing", "op3_line_dedup", "op5_quality")])
+def test_columns_that_clash_change_nothing(spark, folder, tmp_path, name):
+    more = ("id", "fp", "label", "component", "h1", "words", "start", "anchor", "salt", "ranges", "raw", "t", "ids", "media", "n_bytes", "feature", "base", "spans", "proposed", "tokens", "docs", "tokenizer", "digest", "size", "keeper", "file", "offset", "value", "kept_text", "n_words", "__t", "__hash")
+    both = {}
+    for kind in ("plain", "clashing"):
+        (tmp_path / kind).mkdir()
+        for table in ("documents", "pages"):
+            whole = pq.read_table(f"{folder}/{table}.parquet")
+            part = whole.slice(whole.num_rows - 40, 40)
+            for c in more if kind == "clashing" else ():
+                part = part if c in part.column_names else part.append_column(c, pa.array([f"of {c}"] * 40))
+            pq.write_table(part, tmp_path / kind / f"{table}.parquet")
+        both[kind] = spark_rows(__spark_entry__.queries()[name](spark, str(tmp_path / kind)))
+    assert both["plain"] == both["clashing"]
