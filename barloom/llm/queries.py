@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, linededup, media, mixing, pii, quality, simhash, substring, tokencounts, warc
+from barloom.llm import bpe, linededup, manifest, media, mixing, pii, quality, simhash, substring, tokencounts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
 }
