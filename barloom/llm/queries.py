@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, linededup, manifest, media, mixing, pii, quality, simhash, substring, tokencounts, warc
+from barloom.llm import bpe, contamination, linededup, manifest, media, mixing, pii, quality, simhash, substring, tokencounts, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring.op10_substring_dedup,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_decontamination": contamination.op13_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
     "op11_merkle_manifest": manifest.OP11_SQL,
+    "op12_spelling_variants": variants.OP12_SQL,
+    "op13_decontamination": contamination.OP13_SQL,
 }
