@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import string
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -112,3 +113,96 @@ def without_repeats(texts: dict[int, str | None], window: int = 20) -> dict[int,
             seen.add(x)
         out[i] = len(found), len(covered), " ".join(w for k, w in enumerate(found) if k not in covered)
     return out
+
+
+def manifest(rows: list[dict]) -> dict[int, tuple]:
+    """By place in ``rows``: leaf, subroot, root, proof (an array of texts) and folded root of the document, tampered or not."""
+
+    def leaf(row: dict, text: str | None) -> str:
+        values = [row["doc_id"], row["source"], row["lang"], row["n_chars"], text]
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    def climb(nodes: list[str], place: int) -> tuple[str, list[tuple[list[str], int]]]:
+        steps = []
+        while len(nodes) > 1:
+            run = nodes[place - place % 16 :][:16]
+            steps.append((run[: place % 16] + run[place % 16 + 1 :], place % 16))
+            nodes, place = [sha("".join(nodes[k : k + 16])) for k in range(0, len(nodes), 16)], place // 16
+        return nodes[0], steps
+
+    trees = defaultdict(list)
+    for k, row in enumerate(rows):
+        trees[row["source"]].append((row["doc_id"] is not None, row["doc_id"] or 0, leaf(row, row["text"]), k))
+    sources = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    subroots = [climb([x[2] for x in sorted(trees[s])], 0)[0] for s in sources]
+    out = {}
+    for at, s in enumerate(sources):
+        nodes = [x[2] for x in sorted(trees[s])]
+        root, upper = climb(subroots, at)
+        for place, x in enumerate(sorted(trees[s])):
+            row, steps = rows[x[3]], climb(nodes, place)[1] + upper
+            hit = row["doc_id"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0 and row["text"] is not None
+            node = leaf(row, row["text"].translate(LOWER)) if hit else x[2]
+            for others, k in steps:
+                node = sha("".join(others[:k]) + node + "".join(others[k:]))
+            out[x[3]] = (x[2], subroots[at], root, ["".join(others) for others, _ in steps], node)
+    return out
+
+
+def spelling_variants(rows: list[dict]) -> dict[str, tuple]:
+    """By word: form, root, n, n_near, form_n."""
+    seen = Counter()
+    for row in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", row["text"] or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if row['doc_id'] is None else row['doc_id']}:{run}".encode())
+            at = h % len(run)
+            seen[run[:at] + run[at + 1 :] if h % 31 == 0 else run] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= 7 and n >= 2}
+    # every two words of equal or neighbouring lengths, a letter at a time from both ends
+    near = defaultdict(set)
+    by_size = defaultdict(list)
+    for w in words:
+        by_size[len(w)].append(w)
+
+    def ends(a: str, b: str) -> int:
+        k = 0
+        while k < min(len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        return k
+
+    for size, own in list(by_size.items()):
+        for a in own:
+            for b in by_size[size] + by_size[size + 1]:
+                if a != b and ends(a, b) + ends(a[::-1], b[::-1]) >= size - (len(b) == size):
+                    near[a].add(b)
+                    near[b].add(a)
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * n else None
+
+    def root(w: str) -> str:
+        return root(form[w]) if form[w] else w
+
+    return {w: (form[w], root(w), n, len(near[w]), words[form[w]] if form[w] else None) for w, n in words.items()}
+
+
+def contamination(texts: list[str | None], items: list[tuple[object, str | None]], window: int = 10) -> list[tuple[int, int, list[str]]]:
+    """For each text: its words, those hit, and the items with occurring windows."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    asked = defaultdict(set)
+    for name, text in items:
+        found = split(text)
+        for k in range(max(1, len(found) - window + 1) if found else 0):
+            asked[tuple(found[k : k + window])].add("null" if name is None else str(name))
+    out = []
+    for text in texts:
+        found, hit, names = split(text), set(), set()
+        for size in {len(x) for x in asked}:
+            for k in range(len(found) - size + 1):
+                if (x := tuple(found[k : k + size])) in asked:
+                    hit.update(range(k, k + size))
+                    names |= asked[x]
+        out.append((len(found), len(hit), sorted(names)))
+    return out
