@@ -70,13 +70,15 @@ def folded(node: Column, proof: Column, places: Column) -> Column:
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """``rows`` with each one's ``index`` within its ``tree`` and the tree's ``width``.
 
-    Written once in ranges of tree and order; the counts of the ranges, a row for
-    each and for each tree, are all that is summed.  What holds a range of one
-    tree is split anywhere, equal rows too, since their places in the input
-    order them.
+    Written before they are ranged, since a range sort reads twice (for its
+    bounds and for itself) and these are narrow; then written in ranges of tree
+    and order.  The counts of the ranges, a row for each and for each tree, are
+    all that is summed.  A tree may be split anywhere, between equal rows too,
+    since their places in the input order them.
     """
     order = ["tree", *order, "__read"]
-    ranged = rows.withColumn("__read", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("__read")
+    rows = materialise(rows.withColumn("__read", F.monotonically_increasing_id()), name)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__read")
     ranged = materialise(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)), name)
     tree = Window.partitionBy("tree")
     counts = ranged.groupBy("tree", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
@@ -154,8 +156,8 @@ def with_proofs(tower: list[DataFrame], above: DataFrame, carried: tuple[str, ..
 def manifest(rows: DataFrame, id_column: str = "doc_id", source: str = "source", fields: tuple[str, ...] = FIELDS, carried: tuple[str, ...] = (), levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
     """The id, ``leaf``, ``proof``, ``places``, the source's ``subroot``, ``root``, and the columns to be carried.
 
-    A row's text is read once, for its leaf; what is shuffled after that is the
-    digests, and proofs are made where they are returned.
+    A row's text is read once, for its leaf; what is written and shuffled after
+    that is the digests, and proofs are made where they are returned.
     """
     own = {f"__c{k}": c for k, c in enumerate(carried)}
     leaves = rows.select(F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("tree"), F.col(id_column).alias("__id"), leaf(F.col(f) for f in fields).alias("node"), *(F.col(c).alias(n) for n, c in own.items()))
