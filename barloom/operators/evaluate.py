@@ -105,7 +105,7 @@ def verdict(report: DataFrame) -> DataFrame:
     return report.withColumn("verdict", F.coalesce(ladder, F.lit("usable")))
 
 
-def _average_ranks(x: np.ndarray) -> np.ndarray:
+def average_ranks(x: np.ndarray) -> np.ndarray:
     """Ranks down each column, ties averaged."""
     n = len(x)
     order = np.argsort(x, axis=0)
@@ -136,7 +136,7 @@ def ic_matrix(panel: DataFrame, features: list[str], label: str = "label", min_s
         known = known[~np.isnan(known).any(axis=1)]
         if len(known) < min_stocks:
             return pa.table({"feature": pa.array([], pa.string()), "date": day["date"].slice(0, 0), "ic": pa.array([], pa.float64())})
-        ranks = _average_ranks(known)
+        ranks = average_ranks(known)
         ranks -= ranks.mean(axis=0)
         y, x = ranks[:, :1], ranks[:, 1:]
         spread = np.sqrt((x * x).sum(axis=0) * (y * y).sum())
