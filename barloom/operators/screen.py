@@ -90,15 +90,18 @@ def monitor_facts(bars: DataFrame) -> DataFrame:
     return latest.join(rsi, ["symbol", "date"], "left")
 
 
-def fired(facts: DataFrame, rules: DataFrame, positions: DataFrame | None = None, calendar: DataFrame | None = None) -> DataFrame:
-    """rule_id, symbol, date, type: which rules hold.  A rule without a symbol is about all of them.
+def fired(facts: DataFrame, rules: DataFrame, positions: DataFrame | None = None, calendar: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rule_id, symbol, date, type, and the columns to ``keep``: which rules hold.  A rule without a symbol is about all of them.
 
-    Rules about a symbol meet its facts by an equality join; those about all of
-    them meet every fact.  positions: symbol, stop_loss, take_profit; calendar:
-    symbol, event_date.
+    A symbol's own rules come by an equality join, the general ones as one list
+    that every row has; a row is made for each of both.  positions: symbol,
+    stop_loss, take_profit; calendar: symbol, event_date.
     """
-    general = facts.crossJoin(rules.filter("symbol is null").drop("symbol"))
-    rows_ = facts.join(rules.filter("symbol is not null"), "symbol").unionByName(general)
+    rule = F.struct("rule_id", "type", "level", "direction", "cooldown_minutes")
+    general = rules.filter("symbol is null").agg(F.collect_list(rule).alias("__general"))  # one row: what a user wrote
+    own = rules.filter("symbol is not null").groupBy("symbol").agg(F.collect_list(rule).alias("__own"))
+    both = facts.join(own, "symbol", "left").crossJoin(F.broadcast(general))
+    rows_ = both.withColumn("__rule", F.explode(F.concat("__general", F.coalesce("__own", F.array().cast("array<struct<rule_id: int, type: string, level: double, direction: string, cooldown_minutes: int>>"))))).select(*facts.columns, "__rule.*")
     if positions is not None:
         rows_ = rows_.join(positions.select("symbol", "stop_loss", "take_profit"), "symbol", "left")
     else:
@@ -124,7 +127,7 @@ def fired(facts: DataFrame, rules: DataFrame, positions: DataFrame | None = None
     test = F.lit(False)
     for name, condition in tests.items():
         test = F.when(kind == name, holds(condition)).otherwise(test)
-    return rows_.filter(test).select("rule_id", "symbol", "date", "type")
+    return rows_.filter(test).select("rule_id", "symbol", "date", "type", *keep)
 
 
 def after_cooldown(firings: DataFrame, minutes: int = 60, by: tuple[str, ...] = ("rule_id",), time: str = "ts") -> DataFrame:

@@ -16,6 +16,7 @@ from barloom.plans.registry import WEEK, events_sql, full, lagged, query, r, rou
 from barloom.sources import bars as src
 from barloom.sources import payloads
 from barloom.streaming import live
+from barloom.streaming.bar_table import BarTable, stored
 
 _HK = ("ret1", "ret20", "ma60", "close_ma10", "bb_upper", "bb_lower", "bb_width", "atr", "volatility10", "v_ratio", "v_price_corr", "rsi14", "hl_ratio", "co_ratio", "body", "up_count")
 _TR = f"greatest(high - low, abs(high - {lagged('close')}), abs(low - {lagged('close')}))"
@@ -157,10 +158,36 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     ticks = ticks.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
-    path = _shared(spark, "stream-bars")
-    run = live.store_bars(live.tick_bars(ticks, lateness="3650 days"), path, _shared(spark, "stream-check")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    stored = spark.read.parquet(f"{path}/v{run.lastProgress['batchId'] if run.lastProgress else 0}")
-    return stored.select("symbol", F.col("date").cast("timestamp_ntz").alias("date"), *(rounded(c).alias(c) for c in ("open", "high", "low", "close")), "volume")
+    table = BarTable(spark, _shared(spark, "stream-bars"))
+    stored(ticks, table, _shared(spark, "stream-check")).trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("symbol", F.col("date").cast("timestamp_ntz").alias("date"), *(rounded(c).alias(c) for c in ("open", "high", "low", "close")), "volume")
 
 
+
+
+#: rule_id, symbol, type, level, direction, cooldown_minutes: of events as quotes of their users.
+STREAM_RULES = [(1, None, "price_cross", 60.0, "up", 2880), (2, None, "price_cross", 20.0, "down", 720), (3, "7", "price_cross", 5.0, "up", 60), (4, None, "price_pct", 900.0, None, 1440), (5, None, "price_cross", 150.0, "up", 0)]
+_QUOTES = "q AS (SELECT CAST(user_id AS VARCHAR) AS symbol, ts, value AS close FROM events), known AS (SELECT symbol, avg(close) / 2 AS prev_close FROM q GROUP BY 1)"
+_STREAM_RULES_SQL = "rules(rule_id, rs, type, level, direction, minutes) AS (VALUES " + ", ".join(f"({i}, {'NULL' if s is None else repr(s)}, {t!r}, {v}::DOUBLE, {'NULL' if d is None else repr(d)}, {m})" for i, s, t, v, d, m in STREAM_RULES) + ")"
+
+
+@query(
+    "stream_rules",
+    f"""WITH RECURSIVE {_QUOTES}, {_STREAM_RULES_SQL},
+e AS (SELECT rule_id, symbol, type, minutes, ts, row_number() OVER (PARTITION BY rule_id, symbol ORDER BY ts) AS rn FROM q JOIN known USING (symbol) JOIN rules ON rs IS NULL OR rs = symbol
+  WHERE CASE type WHEN 'price_pct' THEN abs(100 * (close / prev_close - 1)) >= level ELSE CASE direction WHEN 'down' THEN close <= level ELSE close >= level END END),
+k AS (SELECT rule_id, symbol, type, rn, ts, ts AS last, true AS kept FROM e WHERE rn = 1 UNION ALL
+  SELECT e.rule_id, e.symbol, e.type, e.rn, e.ts, CASE WHEN e.ts - k.last >= to_minutes(minutes) THEN e.ts ELSE k.last END, e.ts - k.last >= to_minutes(minutes) FROM k JOIN e ON e.rule_id = k.rule_id AND e.symbol = k.symbol AND e.rn = k.rn + 1)
+SELECT CAST(rule_id AS INT) AS rule_id, symbol, ts, type FROM k WHERE kept""",
+)
+def stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules tried on the events as a stream of quotes, with a cooldown of each rule's own by symbol."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    known = events.groupBy(F.col("user_id").cast("string").alias("symbol")).agg((F.avg("value") / 2).alias("prev_close"))
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    quotes = stream.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+    rules = spark.createDataFrame(STREAM_RULES, "rule_id int, symbol string, type string, level double, direction string, cooldown_minutes int")
+    path = _shared(spark, "stream-rules")
+    with live.keyed_state(spark):
+        live.watched(quotes, known, rules).writeStream.option("checkpointLocation", _shared(spark, "stream-check")).trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(live.FIRING).parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

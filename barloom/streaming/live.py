@@ -1,20 +1,23 @@
 """Bars and rules on streams.
 
-Ticks become bars by event time under a watermark; rules fire on bars, and a
-fired rule is silent until its cooldown is over, which is state kept by rule
-and symbol.
+Ticks become bars by event time under a watermark.  Rules are tried on every
+quote of a stream by joins with tables; what fires is then silent for its
+cooldown, which is state kept by rule and symbol.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from barloom.sources.bars import upsert
+from barloom.operators.screen import fired
+
+FIRING = "rule_id int, symbol string, ts timestamp, type string"
 
 
 def tick_bars(ticks: DataFrame, unit: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
@@ -25,37 +28,83 @@ def tick_bars(ticks: DataFrame, unit: str = "1 hour", lateness: str = "2 hours")
     return made.select("symbol", F.col("window.start").alias("date"), "open", "high", "low", "close", "volume")
 
 
-def store_bars(bars: DataFrame, path: str, checkpoint: str):
-    """A query that upserts each batch of bars into the folder ``path`` (a version a batch, the last one named by ``_latest``).
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here keep their state in RocksDB, which timers and values by key need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def quote_facts(quotes: DataFrame, known: DataFrame) -> DataFrame:
+    """What rules look at, of a stream of quotes (symbol, ts, price): with the table ``known`` (symbol, prev_close, and limits or levels where there are any)."""
+    rows = quotes.join(known, "symbol", "left").withColumns({c: F.col("price") for c in ("close", "high", "low")})
+    rows = rows.withColumn("change_pct", 100 * (F.try_divide("close", "prev_close") - 1)).withColumn("date", F.to_date("ts"))
+    for name, kind in (("volume_ratio", "double"), ("limit_up", "boolean"), ("limit_down", "boolean"), ("rsi", "double"), ("prev_rsi", "double")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    return rows
+
+
+class Cooldown(StatefulProcessor):
+    """Of a rule's firings on a symbol those that come its cooldown after the last one that passed.
+
+    The state is the time of that one.  A timer at the end of the cooldown
+    clears it once the watermark is past, when no firing can come that it would
+    still silence, so what is kept is bounded by what fired lately.
+    """
 
-    A batch that is run again overwrites its own version, so nothing counts twice.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "micros bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["micros", "type"], ignore_index=True)
+        last = self.last.get()[0] if self.last.exists() else None
+        before, kept = last, []
+        for at, micros, minutes in zip(frame.index, frame["micros"].tolist(), frame["minutes"].tolist(), strict=True):
+            if last is None or minutes <= 0 or micros - last >= minutes * 60_000_000:
+                kept.append(at)
+                last = micros
+        if last != before:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.last.update((last,))
+            self.handle.registerTimer(max(last // 1000 + int(frame["minutes"].max()) * 60_000, timerValues.getCurrentWatermarkInMs()) + 1)
+        out = frame.loc[kept]
+        yield pd.DataFrame({"rule_id": [key[0]] * len(out), "symbol": [key[1]] * len(out), "ts": pd.to_datetime(out["micros"], unit="us", utc=True), "type": out["type"]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def cooled(firings: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """A stream of firings (rule_id, symbol, ts, type, cooldown_minutes) but those within a rule's cooldown of the last one that passed.
+
+    Firings of one batch are taken in order of time.  A firing later than
+    ``lateness`` behind the newest time seen in earlier batches is dropped; one
+    that is late but not as late is silent if it lies before the last that
+    passed.  Start the query in :func:`keyed_state`.
     """
+    rows = firings.select(F.col("rule_id").cast("int").alias("rule_id"), "symbol", "ts", F.unix_micros("ts").alias("micros"), "type", F.coalesce("cooldown_minutes", F.lit(0)).cast("int").alias("minutes"))
+    return rows.withWatermark("ts", lateness).groupBy("rule_id", "symbol").transformWithStateInPandas(Cooldown(), FIRING, "Append", "EventTime")
+
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        before = f"{path}/v{number - 1}"
-        there = hadoop.Path(before).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(before))
-        merged = upsert(spark.read.parquet(before), batch) if there else batch
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return bars.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
-
-
-def cooled(firings: DataFrame, minutes: int = 60) -> DataFrame:
-    """Firings (rule_id, symbol, ts) but those within ``minutes`` of the last one that passed, per rule and symbol."""
-    gap = pd.Timedelta(minutes=minutes)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        times = sorted(t for frame in frames for t in frame["ts"])
-        kept = []
-        for t in times:
-            if last is None or t - last >= gap:
-                kept.append(t)
-                last = t
-        if last is not None:
-            state.update((last.isoformat(),))
-        yield pd.DataFrame({"rule_id": [key[0]] * len(kept), "symbol": [key[1]] * len(kept), "ts": kept})
-
-    return firings.groupBy("rule_id", "symbol").applyInPandasWithState(run, "rule_id int, symbol string, ts timestamp", "last string", "append", GroupStateTimeout.NoTimeout)
+def watched(quotes: DataFrame, known: DataFrame, rules: DataFrame, positions: DataFrame | None = None, calendar: DataFrame | None = None, lateness: str = "0 seconds") -> DataFrame:
+    """The firings of rules on a stream of quotes, with their cooldowns: rule_id, symbol, ts, type.
+
+    The rules, positions and calendar are tables, read anew for every batch.
+    """
+    held = fired(quote_facts(quotes, known), rules, positions, calendar, keep=("ts", "cooldown_minutes"))
+    return cooled(held, lateness)
