@@ -85,6 +85,8 @@ PRECISION = 0.9
 ROUNDS = 8
 DEPTH = 3
 SPAN = "struct<s:int,k:int,e:int>"
+WIDE_BITS = 8
+WIDE = 1 << WIDE_BITS
 BLOCK_BITS = 6
 BLOCK = 1 << BLOCK_BITS
 
@@ -273,16 +275,26 @@ def _meets(blocks: Column, x: Column) -> Column:
 
 
 def _apart(spans: Column) -> Column:
-    """Of overlapping spans, ordered by start, those that the first ones leave free; gathered block by block."""
+    """Of overlapping spans, ordered by start, those that the first ones leave free.
+
+    Spark copies what a fold carries at every step, so a fold over all spans
+    that carries those kept would take the square of their number.  A fold over
+    a block carries the block's, and a fold over the blocks carries all, once a
+    block.
+    """
     empty = F.array().cast(f"array<{SPAN}>")
+    numbers = F.filter(F.sequence(F.lit(0), F.shiftright(F.size(spans), WIDE_BITS)), lambda b: b * WIDE < F.size(spans))
+    blocks = F.transform(numbers, lambda b: F.slice(spans, b * WIDE + 1, F.lit(WIDE)))
+
+    def within(acc: Column, x: Column) -> Column:
+        return F.when(x["s"] >= acc["end"], F.struct(x["e"].alias("end"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
 
-    def step(acc: Column, x: Column) -> Column:
-        full, more = F.size(acc["block"]) + 1 >= BLOCK, F.array_append(acc["block"], x)
-        done = F.when(full, F.array_append(acc["done"], more)).otherwise(acc["done"])
-        return F.when(x["s"] >= acc["end"], F.struct(x["e"].alias("end"), done.alias("done"), F.when(full, empty).otherwise(more).alias("block"))).otherwise(acc)
+    def step(acc: Column, block: Column) -> Column:
+        own = F.aggregate(block, F.struct(acc["end"].alias("end"), empty.alias("kept")), within)
+        return _once(own, lambda r: F.struct(r["end"].alias("end"), F.array_append(acc["done"], r["kept"]).alias("done")))
 
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<array<{SPAN}>>").alias("done"), empty.alias("block"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["block"]))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<array<{SPAN}>>").alias("done"))
+    return F.aggregate(blocks, start, step, lambda acc: F.flatten(acc["done"]))
 
 
 def _count(k: int) -> Column:

@@ -12,8 +12,9 @@ forgetting their names; a name that a committed fold has is refused.
 
 Defined results: a null text has no tokens; null sources and languages are
 groups of their own; rows without an id are documents of their own, which only a
-delete of the null id removes; of rows of one batch that share an id the first by
-content counts; deleting or revising what is not there removes nothing, and
+delete of the null id removes; rows of one batch that share an id all count, but
+one that is the same in id, group and content was sent twice and counts once, and
+a later batch with the id stands for all of them; deleting or revising what is not there removes nothing, and
 inserting what is there revises it; an empty batch is committed and changes
 nothing; ids of any type are kept as strings; other columns are not looked at.
 """
@@ -24,7 +25,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.bpe import coder
@@ -38,17 +39,21 @@ WORDS = "words/1"
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens): a row for each document and tokenizer version."""
+    """(doc_id, source, lang, content, tokenizer, tokens): a row for each document and tokenizer version; content is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            counts = [bpe.count(t) for t in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "words", "tokens"])
+            counts = [bpe.count(t) for t in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "content", "words", "tokens"])
 
-    counted = docs.select(F.col("doc_id").cast("string"), "source", "lang", word_count().alias("words"), whole_text().alias("t")).mapInArrow(run, "doc_id string, source string, lang string, words long, tokens long")
+    counted = docs.select(F.col("doc_id").cast("string"), "source", "lang", content_of().alias("content"), word_count().alias("words"), whole_text().alias("t")).mapInArrow(run, "doc_id string, source string, lang string, content long, words long, tokens long")
     each = F.array(F.struct(F.lit(BPE).alias("tokenizer"), F.col("tokens")), F.struct(F.lit(WORDS).alias("tokenizer"), F.col("words").alias("tokens")))
-    return counted.select("doc_id", "source", "lang", F.inline(each))
+    return counted.select("doc_id", "source", "lang", "content", F.inline(each))
+
+
+def content_of(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text))
 
 
 class TokenRollup:
@@ -102,7 +107,7 @@ class TokenRollup:
         return _by_document(self.log())
 
     def apply(self, batch: str, rows: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
-        """Commit a batch: ``rows`` of :func:`count_tokens` come or are revised, ids in ``deletes`` (doc_id) go.  False where it had been committed."""
+        """Commit a batch: ``rows`` of :func:`count_tokens` (content may be left out) come or are revised, ids in ``deletes`` (doc_id) go.  False where it had been committed."""
         if batch.startswith(("folded-", "_", ".")) or "/" in batch:
             raise ValueError(f"not a batch name: {batch!r}")
         if self.applied(batch):
@@ -110,11 +115,11 @@ class TokenRollup:
         delta = self.spark.createDataFrame([], LOG)
         have = bool(self.committed())
         if rows is not None:
-            first = Window.partitionBy("doc_id", "tokenizer").orderBy(F.col("tokens").desc_nulls_last(), "source", "lang")
-            new = rows.select(F.col("doc_id").cast("string"), *GROUP, F.lit(1).cast("long").alias("docs"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+            content = F.col("content") if "content" in rows.columns else F.lit(0)
+            new = rows.select(F.col("doc_id").cast("string"), *GROUP, F.lit(1).cast("long").alias("docs"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), content.alias("content"))
             nameless, named = new.filter("doc_id is null"), new.filter("doc_id is not null")  # rows without an id are documents of their own
-            named = named.withColumn("turn", F.row_number().over(first)).filter("turn = 1").drop("turn")
-            delta = delta.union(named).union(nameless)
+            named = named.dropDuplicates()
+            delta = delta.union(named.drop("content")).union(nameless.drop("content"))
             if have:
                 delta = delta.union(self._less(named.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"]))
         if deletes is not None and have:
@@ -170,7 +175,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = materialise(count_tokens(docs), "token-counts")
     rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
     guess = F.greatest(F.lit(1), F.octet_length(whole_text()).cast("long") / 4).cast("long").alias("tokens")
-    rollup.apply("estimates", docs.filter("doc_id is not null").select("doc_id", "source", "lang", F.lit(BPE).alias("tokenizer"), guess))
+    rollup.apply("estimates", docs.filter("doc_id is not null").select("doc_id", "source", "lang", content_of().alias("content"), F.lit(BPE).alias("tokenizer"), guess))
     for _ in range(2):
         rollup.apply("exact", counted)
     first = counted.agg(F.min("source").alias("first"))  # one row

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -155,6 +156,18 @@ def test_rollup_counts_each_row_without_an_id(spark, tmp_path):
     assert total() == {("a", 1, 1), ("c", 1, 5)}
 
 
+def test_rollup_counts_rows_that_share_an_id(spark, tmp_path):
+    """Different rows of one id all count and are revised or deleted together; the same row twice counts once."""
+    log, rows, total = _rollup(spark, tmp_path)
+    log.apply("one", rows((1, "a", "en", "t", 10), (1, "b", "en", "t", 7), (1, "b", "en", "t", 7), (2, "b", "en", "t", 1)))
+    assert total() == {("a", 1, 10), ("b", 2, 8)}
+    docs = spark.createDataFrame([(3, "a", None, "one two"), (3, "a", None, "two one"), (3, "a", None, "two one"), (None, "a", None, "x"), (None, "a", None, "x")], "doc_id long, source string, lang string, text string")
+    log.apply("two", tokencounts.count_tokens(docs).filter(F.col("tokenizer") == tokencounts.WORDS))
+    assert total() == {("a", 1, 10), ("b", 2, 8), ("a", 4, 6)}
+    log.apply("three", rows((1, "c", "en", "t", 5)), spark.createDataFrame([(3,)], "doc_id long"))
+    assert total() == {("c", 1, 5), ("b", 1, 1), ("a", 2, 2)}
+
+
 def _rollup(spark, tmp_path):
     log = tokencounts.TokenRollup(spark, str(tmp_path / "log"))
     rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, source string, lang string, tokenizer string, tokens long")
@@ -536,6 +549,27 @@ def test_pii_offsets_over_blocks(spark, n):
     assert [(x.s, x.e) for x in kept.x] == want and kept.y == []
 
 
+def test_pii_many_proposals(spark):
+    """Proposals by the ten thousand in one text, some overlapping in chains, in a time that grows with their number."""
+    from barloom.llm import pii
+
+    rng = random.Random(3)
+    spans, at = [], 0
+    for _ in range(60_000):
+        at += rng.randint(0, 4)
+        spans.append((at, at + rng.randint(1, 6)))
+    want, end = [], 0
+    for a, b in spans:
+        if a >= end:
+            want.append((a, b))
+            end = b
+    frame = spark.createDataFrame([([{"s": a, "k": 0, "e": b} for a, b in spans],)], f"spans array<{pii.SPAN}>").cache()
+    frame.count()
+    began = time.monotonic()
+    kept = frame.select(pii._apart(F.col("spans")).alias("x")).first().x
+    assert [(x.s, x.e) for x in kept] == want and time.monotonic() - began < 20
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op1_mixing", "op3_line_dedup", "op5_quality")])
 def test_columns_that_clash_change_nothing(spark, folder, tmp_path, name):
     more = ("id", "fp", "label", "component", "h1", "words", "start", "anchor", "salt", "ranges", "raw", "t", "ids", "media", "n_bytes", "feature", "base", "spans", "proposed", "tokens", "docs", "tokenizer", "digest", "size", "keeper", "file", "offset", "value", "kept_text", "n_words", "__t", "__hash")
