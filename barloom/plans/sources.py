@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.lineage import shared_folder
-from barloom.plans.registry import WEEK, query, r, rounded
-from barloom.sources import connectors, replies
-from barloom.sources.bars import brand_week_bars
+from barloom.operators import minutes
+from barloom.plans.registry import WEEK, events_sql, full, lagged, query, r, rounded, shown
+from barloom.sources import columns, connectors, lists, replies
+from barloom.sources.bars import brand_week_bars, event_bars
 
 
 def _shared(spark: SparkSession, name: str) -> str:
@@ -113,3 +114,108 @@ def connector_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = ",".join(f"Brand#{r.n}.US" for r in bars.select("n").distinct().collect())  # the names to ask for
     found = spark.read.format("services").option("symbols", symbols).load().filter("market = 'US' and (date >= date'1998-01-01' or date is null)")
     return found.select("market", "symbol", "date", rounded("close", 4).alias("close"), "source", "fault")
+
+
+_GRID = """g AS (SELECT s.symbol, d.date, b.close, b.volume FROM (SELECT DISTINCT symbol FROM part) s CROSS JOIN (SELECT DISTINCT date FROM part) d LEFT JOIN part b ON b.symbol = s.symbol AND b.date = d.date),
+f AS (SELECT symbol, date, coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date), first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS close,
+  coalesce(last_value(volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date), first_value(volume IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS volume FROM g)"""
+
+
+@query("column_files", f"WITH {WEEK}, part AS (SELECT * FROM bars), {_GRID} SELECT symbol, date, {r('CAST(CAST(close AS FLOAT) AS DOUBLE)', 3)} AS close, volume FROM f")
+def column_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars written as column files, the last year appended, and read again."""
+    bars = brand_week_bars(spark, sf_dir).select("symbol", "date", "close", "volume")
+    folder = _shared(spark, "columns")
+    early, late = bars.filter("date < date'2001-01-01'"), bars.filter("date >= date'2001-01-01'")
+    columns.write_columns(early, folder, ("close", "volume"))
+    columns.write_columns(late, folder, ("close", "volume"), append=True)
+    found = columns.read_columns(spark, folder, ("close", "volume"))
+    return found.select("symbol", "date", rounded("close", 3).alias("close"), "volume")
+
+
+@query("column_instruments", f"WITH {WEEK}, d AS (SELECT min(date) AS a, max(date) AS b FROM bars) SELECT DISTINCT symbol, a AS first_date, b AS last_date FROM bars, d")
+def column_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last dates of the instruments, as their files tell."""
+    folder = _shared(spark, "columns")
+    columns.write_columns(brand_week_bars(spark, sf_dir).select("symbol", "date", "close"), folder, ("close",))
+    return columns.instruments(spark, folder)
+
+
+_SECONDS = "CASE p_partkey % 6 WHEN 0 THEN lpad(((p_partkey * 7919) % 1000000)::VARCHAR, 6, '0') WHEN 1 THEN lpad(((p_partkey * 31) % 100000)::VARCHAR, 5, '0') WHEN 2 THEN chr(65 + (p_partkey % 26)::INT) || chr(65 + (p_partkey % 7)::INT) WHEN 3 THEN 'SZ' || lpad((p_partkey % 500)::VARCHAR, 6, '0') WHEN 4 THEN '' ELSE 'x' || p_partkey END"
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' keys as lines of an exported list."""
+    key = F.col("p_partkey")
+    digits = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    code = F.when(key % 6 == 0, digits(key * 7919 % 1_000_000, 6)).when(key % 6 == 1, digits(key * 31 % 100_000, 5)).when(key % 6 == 2, F.concat(F.char(65 + key % 26), F.char(65 + key % 7))).when(key % 6 == 3, F.concat(F.lit("SZ"), digits(key % 500, 6))).when(key % 6 == 4, "").otherwise(F.concat(F.lit("x"), key.cast("string")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(code, F.when(code != "", "\t1.0").otherwise("")).alias("value"), key)
+
+
+_CLASS = f"""e AS (SELECT row_number() OVER (ORDER BY p_partkey) AS place, {_SECONDS} AS code FROM part),
+c AS (SELECT place, nullif(code, '') AS code, CASE WHEN regexp_matches(code, '^(SH|SZ|BJ)') THEN substr(code, 3) || '.' || substr(code, 1, 2) WHEN regexp_matches(code, '^[0-9]{{6}}$') THEN code || CASE WHEN code[1] IN ('6', '9') THEN '.SH' WHEN code[1] IN ('0', '3') THEN '.SZ' WHEN code[1] IN ('4', '8') THEN '.BJ' END
+  WHEN regexp_matches(code, '^[0-9]{{5}}$') THEN code || '.HK' WHEN regexp_matches(code, '^[A-Z]{{1,5}}$') THEN code || '.US' END AS symbol FROM e)"""
+
+
+@query(
+    "list_import",
+    f"""WITH {_CLASS} SELECT CAST(place AS INT) AS place, code, symbol, CASE WHEN symbol LIKE '%.HK' THEN 'HK' WHEN symbol LIKE '%.US' THEN 'US' WHEN symbol IS NOT NULL THEN 'A' END AS market,
+  CASE WHEN code IS NULL THEN 'blank' WHEN symbol IS NULL AND regexp_matches(code, '^[0-9]{{6}}$') THEN 'no such board' WHEN symbol IS NULL THEN 'not a symbol' END AS reason FROM c""",
+)
+def list_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list made of the parts' keys as files: symbols, and the lines that are none with the reason."""
+    return lists.classified(_imported(spark, sf_dir))
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list as text files in the order of the keys, read again line by line."""
+    folder = _shared(spark, "list")
+    _exported(spark, sf_dir).repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select("value").write.text(folder)
+    return lists.file_lines(spark, f"{folder}/*.txt")
+
+
+@query(
+    "resolve_symbols",
+    f"""WITH {_CLASS}, l AS (SELECT 0 AS source, place, symbol FROM c WHERE symbol IS NOT NULL
+UNION ALL SELECT 1, c_custkey, lpad((c_custkey % 900)::VARCHAR, 5, '0') || '.HK' FROM customer UNION ALL SELECT 2, s_suppkey, chr(65 + (s_suppkey % 26)::INT) || 'A.US' FROM supplier)
+SELECT symbol, min(row(source, place))[1] AS source, CAST(min(row(source, place))[2] AS BIGINT) AS place FROM l GROUP BY symbol""",
+)
+def resolve_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An imported list, a watch list of customers and a book of suppliers, each symbol where it comes first."""
+    watched = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("place"), F.concat(F.lpad((F.col("c_custkey") % 900).cast("string"), 5, "0"), F.lit(".HK")).alias("symbol"))
+    held = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("place"), F.concat(F.char(65 + F.col("s_suppkey") % 26), F.lit("A.US")).alias("symbol"))
+    return lists.united(lists.classified(_imported(spark, sf_dir)), watched, held).select("symbol", "source", "place")
+
+
+_MIN = ("ret1", "ret30", "close_ma5", "ma30", "ma_cross", "bb_upper", "bb_width", "atr", "volatility10", "vma30", "v_ratio", "rsi14", "hl_ratio", "co_ratio", "up_shadow", "body")
+_MTR = f"greatest(high - low, abs(high - {lagged('close')}), abs(low - {lagged('close')}))"
+_MSD, _M10 = full(10, "stddev_samp(close)", "close"), full(10, "avg(close)", "close")
+
+
+@query(
+    "minute_features",
+    f"""WITH {events_sql("event_type", "hour")}, a AS (SELECT *, {_MTR} AS tr, close / {lagged("close")} - 1 AS ret1, coalesce(greatest(close - {lagged("close")}, 0), 0) AS gain, coalesce(greatest({lagged("close")} - close, 0), 0) AS loss, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM bars),
+f AS (SELECT symbol, date, n, ret1, close / {lagged("close", 30)} - 1 AS ret30, close / {full(5, "avg(close)", "close")} AS close_ma5, {full(30, "avg(close)", "close")} AS ma30, {full(5, "avg(close)", "close")} - {_M10} AS ma_cross, ({_M10} + 2 * {_MSD}) / close - 1 AS bb_upper, (4 * {_MSD} / close) / ({_M10} / close + 1) AS bb_width,
+  {full(10, "avg(tr)", "tr")} / close AS atr, {full(10, "stddev_samp(ret1)", "ret1")} * sqrt(10::DOUBLE) AS volatility10, {full(30, "avg(volume)", "volume")} AS vma30, volume / {full(5, "avg(volume)", "volume")} AS v_ratio,
+  100 - 100 / (1 + {full(14, "avg(gain)", "gain")} / ({full(14, "avg(loss)", "loss")} + 1e-10::DOUBLE)) AS rsi14, (high - low) / close AS hl_ratio, (close - open) / (high - low + 1e-10::DOUBLE) AS co_ratio, (high - close) / (close - low + 1e-10::DOUBLE) AS up_shadow, abs(close - open) / (high - low + 1e-10::DOUBLE) AS body,
+  CASE WHEN stddev_pop(volume) OVER w * stddev_pop(close) OVER w > 0 THEN 1 END AS both_move FROM a WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT symbol, date, {", ".join(f"{r(c, 4)} AS {c}" for c in _MIN)} FROM f WHERE n > 30 AND both_move IS NOT NULL""",
+)
+def minute_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of intraday bars of the events (hours, which is how dense the events are)."""
+    return shown(minutes.minute_features(event_bars(spark, sf_dir)), *_MIN, digits=4)
+
+
+@query(
+    "minute_ensemble",
+    """WITH q AS (SELECT event_type || '.HK' AS symbol, CAST(ts AS DATE) AS date, ts, event_id, value FROM events), d AS (SELECT symbol, date, avg(value) AS score FROM q GROUP BY 1, 2),
+m1 AS (SELECT symbol, date, arg_max(value, row(ts, event_id)) AS score1 FROM q WHERE event_id % 2 = 0 GROUP BY 1, 2), m2 AS (SELECT symbol, date, arg_max(value / 2, row(ts, event_id)) AS score2 FROM q WHERE event_id % 5 = 0 GROUP BY 1, 2)
+SELECT symbol, """ + r("(score * 0.5::DOUBLE + coalesce(score1, 0) * 0.3::DOUBLE + coalesce(score2, 0) * 0.2::DOUBLE) / (0.5::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE)", 5) + " AS score FROM d LEFT JOIN m1 USING (symbol, date) LEFT JOIN m2 USING (symbol, date) WHERE date = (SELECT max(date) FROM d)",
+)
+def minute_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by day with the last ones of two frequencies of that day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("symbol", F.concat("event_type", F.lit(".HK")))
+    daily = events.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.avg("value").alias("score"))
+    often = lambda n, scale: events.filter(F.col("event_id") % n == 0).select("symbol", F.struct("ts", "event_id").alias("at"), "ts", (F.col("value") / scale).alias("score"))
+    aligned = minutes.day_scores(daily, often(2, 1), often(5, 2))
+    return shown(minutes.ensemble_of_day(aligned, {"score": 0.5, "score1": 0.3, "score2": 0.2}), "score", keys=("symbol",), digits=5)
