@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,28 +124,73 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks_by_day(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ranks within days (rows of a day together, days from ``starts``) about their day's mean, ties averaged; a column at a time for all days."""
+    day = np.repeat(np.arange(len(starts)), sizes)
+    place, first_of_day = np.arange(len(x)), np.repeat(starts, sizes)
+    out = np.empty(x.shape)
+    for k in range(x.shape[1]):
+        order = np.lexsort((x[:, k], day))
+        ordered = x[order, k]
+        new = np.append(True, (ordered[1:] != ordered[:-1]) | (day[1:] != day[:-1]))
+        run = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(x)) - 1
+        out[order, k] = (first[run] + last[run]) / 2
+    return out - (first_of_day + (np.repeat(sizes, sizes) - 1) / 2)[place, None]
+
+
 def ic_matrix(panel: DataFrame, features: list[str], label: str = "label", min_stocks: int = MIN_STOCKS) -> DataFrame:
     """(feature, date, ic) of all features at once, over rows that have every feature and the label.
 
-    One exchange by date of the wide rows; a date's symbols, which bound a
-    group, are ranked for all features together.
+    One exchange by date of the wide rows, sorted in place; batches of many
+    dates are ranked together, a column at a time, and a date that a batch cuts
+    waits for the next one.
     """
-    rows = panel.select("date", label, *features)
+    rows = panel.select("date", label, *features).repartition("date").sortWithinPartitions("date")
     schema = T.StructType([T.StructField("feature", T.StringType()), panel.schema["date"], T.StructField("ic", T.DoubleType())])
 
-    def run(day: pa.Table) -> pa.Table:
-        known = np.column_stack([day[c].to_numpy().astype(float) for c in (label, *features)])
-        known = known[~np.isnan(known).any(axis=1)]
-        if len(known) < min_stocks:
-            return pa.table({"feature": pa.array([], pa.string()), "date": day["date"].slice(0, 0), "ic": pa.array([], pa.float64())})
-        ranks = average_ranks(known)
-        ranks -= ranks.mean(axis=0)
+    def coefficients(table: pa.Table) -> pa.RecordBatch:
+        known = np.column_stack([table[c].to_numpy().astype(float) for c in (label, *features)])
+        whole = ~np.isnan(known).any(axis=1)
+        dates = table["date"].combine_chunks().filter(pa.array(whole))
+        if isinstance(dates, pa.ChunkedArray):
+            dates = dates.combine_chunks()
+        known = known[whole]
+        number = dates.dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.zeros(0, int)
+        sizes = np.diff(np.append(starts, len(number)))
+        stays = np.repeat(sizes >= min_stocks, sizes)
+        known, dates, sizes = known[stays], dates.filter(pa.array(stays)), sizes[sizes >= min_stocks]
+        starts = np.cumsum(sizes) - sizes
+        if not len(starts):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.string()), dates.slice(0, 0), pa.array([], pa.float64())], schema.names)
+        ranks = _ranks_by_day(known, starts, sizes)
         y, x = ranks[:, :1], ranks[:, 1:]
-        spread = np.sqrt((x * x).sum(axis=0) * (y * y).sum())
-        ic = np.divide((x * y).sum(axis=0), spread, out=np.zeros(len(features)), where=spread > 0)
-        return pa.table({"feature": features, "date": pa.chunked_array([day["date"].combine_chunks().take(pa.array([0] * len(features)))]), "ic": ic})
-
-    return rows.groupBy("date").applyInArrow(run, schema)
+        total = lambda a: np.add.reduceat(a, starts, axis=0)
+        spread = np.sqrt(total(x * x) * total(y * y))
+        ic = np.divide(total(x * y), spread, out=np.zeros(spread.shape), where=spread > 0)
+        days = dates.take(pa.array(np.repeat(starts, len(features))))
+        return pa.RecordBatch.from_arrays([pa.array(features * len(starts), pa.string()), days, pa.array(ic.ravel())], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column(0)[-1]
+            cut = pc.index(batch.column(0), last).as_py()
+            if cut:
+                yield coefficients(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
+                waiting = []
+            elif waiting and waiting[-1].column(0)[-1] != last:
+                yield coefficients(pa.Table.from_batches(waiting))
+                waiting = []
+            waiting.append(batch.slice(cut))
+        if waiting:
+            yield coefficients(pa.Table.from_batches(waiting))
+
+    return rows.mapInArrow(run, schema)
 
 
 def factor_scan(panel: DataFrame, features: list[str], label: str = "label", horizon: int = 5, top: int = 20) -> DataFrame:

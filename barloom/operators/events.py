@@ -73,3 +73,23 @@ def balance_momentum(bars: DataFrame, events: DataFrame, value: str, published:
     enough = F.count("__v").over(Window.partitionBy("symbol")) > window
     base = lag("__v", window)
     return out.withColumn(name, F.when(enough, div(F.col("__v") - base, F.abs(base)))).select(*bars.columns, name)
+
+
+#: Heads under which tables of whole markets name a security (fixed by the formats).
+CODES = ("代码", "股票代码", "证券代码")
+
+
+def picked(table: DataFrame, dates: tuple[str, ...], values: tuple[str, ...], published: str = "publish_date", value: str = "value", codes: tuple[str, ...] = CODES) -> DataFrame:
+    """symbol, ``published`` and ``value`` of a table whose columns go by one of several names.
+
+    The first name that the table has counts; codes are filled up to six digits,
+    texts that are no date or number go.  A table that lacks one of the three
+    gives no rows.
+    """
+    found = [next((n for n in names if n in table.columns), None) for names in (codes, dates, values)]
+    if None in found:
+        return table.sparkSession.createDataFrame([], f"symbol string, {published} date, {value} double")
+    code, day, number = (F.col(f"`{n}`") for n in found)
+    text = code.cast("string")
+    out = table.select(F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text).alias("symbol"), F.coalesce(day.try_cast("date"), F.to_date(F.try_to_timestamp(day.cast("string"), F.lit("yyyyMMdd")))).alias(published), number.try_cast("double").alias(value))
+    return out.dropna()

@@ -103,3 +103,24 @@ def scoreboard(settled: DataFrame) -> DataFrame:
     t = F.try_divide(F.col("mean_excess"), F.try_divide(F.col("__sd"), F.sqrt(F.col("n_closed").cast("double"))))
     needed = F.ceil(F.pow(F.try_divide(2 * F.col("__sd"), F.col("mean_excess")), 2))
     return out.withColumns({"t_stat": t, "n_needed": needed}).drop("__sd")
+
+
+def recent_closed(settled: DataFrame, limit: int = 20, strategy: str | None = None) -> DataFrame:
+    """The recommendations that closed last, of one strategy if it is named; the newest exit first, then the later recommendation and the symbol."""
+    rows = settled.filter("status = 'closed'")
+    rows = rows if strategy is None else rows.filter(F.col("strategy") == strategy)
+    return rows.orderBy(F.col("exit_date").desc(), F.col("reco_date").desc(), "symbol").limit(limit)
+
+
+def recommendations(changes: DataFrame, strategy: str, index_bars: DataFrame | None = None, horizon: int = 5) -> DataFrame:
+    """What enters today, for the journal: reco_date, symbol, strategy, entry_price, horizon, bench_price.
+
+    changes: symbol, date, close, change; the date is that of the symbol's last
+    bar, not of the calendar.  bench_price is the index's last close, null
+    without one.
+    """
+    rows = changes.filter("change = 'enter'").select(F.col("date").alias("reco_date"), "symbol", F.lit(strategy).alias("strategy"), F.col("close").alias("entry_price"), F.lit(horizon).alias("horizon"))
+    if index_bars is None:
+        return rows.withColumn("bench_price", F.lit(None).cast("double"))
+    last = index_bars.agg(F.max_by("close", "date").alias("bench_price"))  # one row
+    return rows.crossJoin(F.broadcast(last))

@@ -123,3 +123,31 @@ def random_benchmark(bars: DataFrame, strategy: Strategy, trials: int = 200, met
     rows = _uncased(run_metrics(many, costs)).join(actual, "symbol")
     beaten = F.avg((F.col(metric) < F.col("actual")).cast("double"))
     return rows.groupBy("symbol", "actual").agg(F.avg(metric).alias("random_mean"), (100 * beaten).alias("percentile"), ((F.count(F.when(F.col(metric) >= F.col("actual"), 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+
+
+def optimise_verdict(chosen: DataFrame, plateaus: DataFrame) -> DataFrame:
+    """:func:`optimise` and :func:`plateau` with ``degradation`` (the loss out of sample over the size in sample) and ``verdict``.
+
+    The first that holds: losing, overfitted (a loss out of sample), decayed (by
+    more than half), spike (a plateau below 0.3), fading (by more than 0.3),
+    holding.  Without a size in sample the degradation is 0 or 1.
+    """
+    i, o = F.col("in_sample"), F.col("out_of_sample")
+    size = F.abs(i)
+    lost = F.when(size > 1e-12, (i - o) / size).otherwise((o < i).cast("double"))
+    rows = chosen.join(plateaus.select("symbol", "plateau"), "symbol", "left").withColumn("degradation", lost)
+    d = F.col("degradation")
+    ladder = F.when(i <= 0, "losing").when(o <= 0, "overfitted").when(d > 0.5, "decayed").when(F.col("plateau") < 0.3, "spike").when(d > 0.3, "fading").otherwise("holding")
+    return rows.withColumn("verdict", F.when(i.isNotNull() & o.isNotNull(), ladder))
+
+
+def walk_forward_verdict(folds: DataFrame, metric: str = "total_return") -> DataFrame:
+    """(symbol, n, median, std, positive_share, verdict) of the folds of :func:`walk_forward`.
+
+    The first that holds: few_windows (under 3), losing, few_winners, unstable
+    (a deviation beyond twice the median), steady.
+    """
+    m = F.col(metric)
+    rows = folds.filter(m.isNotNull() & ~F.isnan(m)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.percentile(m, F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias("std"), F.avg((m > 0).cast("double")).alias("positive_share"))
+    ladder = F.when(F.col("n") < 3, "few_windows").when(F.col("median") <= 0, "losing").when(F.col("positive_share") < 0.5, "few_winners").when(F.col("std") > 2 * F.abs("median"), "unstable")
+    return rows.withColumn("verdict", F.coalesce(ladder, F.lit("steady")))

@@ -162,3 +162,17 @@ def market_status(index_bars: DataFrame, period: int = 200) -> DataFrame:
     """The index's last close, average, distance from it in per cent, and whether it is above."""
     out = index_bars.withColumn("ma", over_full(period, F.avg("close"), "close", least=max(20, period // 4)))
     return last_bars(out, 1).select("symbol", "date", "close", "ma", (100 * (div(F.col("close"), F.col("ma")) - 1)).alias("distance_pct"), holds(F.col("close") > F.col("ma")).alias("above"))
+
+
+def flows_fired(flows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule_id, source, date, net, before, direction: rules of type ``flow`` whose source's last net flow is of at least their level.
+
+    flows: source, date, net; a rule names its source as its symbol.  A source
+    with fewer than two dates fires nothing.
+    """
+    order = Window.partitionBy("source").orderBy("date")
+    rows = flows.filter("net is not null").withColumns({"before": F.lag("net").over(order), "__back": F.row_number().over(order.orderBy(F.col("date").desc()))})
+    last = rows.filter("__back = 1 and before is not null")
+    asked = rules.filter("type = 'flow'").select("rule_id", F.col("symbol").alias("source"), "level")
+    held = last.join(asked, "source").filter(F.abs("net") >= F.col("level"))
+    return held.select("rule_id", "source", "date", "net", "before", F.when(F.col("net") >= 0, "in").otherwise("out").alias("direction"))

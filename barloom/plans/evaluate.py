@@ -222,7 +222,7 @@ _ALL_TEST = matrix_sql(ALL).replace("full_rows", "dated AS (SELECT date FROM fea
 )
 def factor_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 features of largest mean coefficient among all, on the test part."""
-    dates = alpha.panel(brand_week_bars(spark, sf_dir), names=["KMID"], horizon=5).dropna(subset=["label"]).select("date")
+    dates = brand_week_bars(spark, sf_dir).withColumn("later", lead("close", 5)).filter("later is not null").select("date")  # those that have a label
     split = cs.purged_split(dates.distinct(), embargo=5).filter("split = 'test'").select("date", "split")
     test = _features(spark, sf_dir, ALL).join(split, "date")
     return shown(evaluate.factor_scan(test, ALL, top=15), "ic_mean", "icir", "t_stat", "t_stat_nw", "ic_win_rate", keys=("feature", "n_days"))

@@ -8,6 +8,7 @@ there or not.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,3 +124,42 @@ def export(datasets: dict[str, DataFrame], folder: str, form: str = "csv") -> No
     for name, frame in datasets.items():
         writer = frame.write.mode("overwrite")
         (writer.option("header", True).csv if form == "csv" else writer.json)(f"{folder.rstrip('/')}/{name}")
+
+
+# --- exports ---
+
+
+def flat_runs(runs: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """``runs`` with each entry of the map ``metrics`` as a column ``metric_...``; an entry that a run lacks is null."""
+    names = sorted(r.name for r in runs.select(F.explode(F.map_keys(metrics)).alias("name")).distinct().collect())  # a name for each metric
+    return runs.select(*(c for c in runs.columns if c != metrics), *(F.try_element_at(metrics, F.lit(n)).alias(f"metric_{n}") for n in names))
+
+
+def flat_signals(signals: DataFrame, context: str = "context") -> DataFrame:
+    """``signals`` with title and body out of the JSON ``context``, a body in one line; what is no JSON gives empty texts."""
+    parsed = F.try_parse_json(context)
+    text = lambda path: F.coalesce(F.try_variant_get(parsed, path, "string"), F.lit(""))
+    return signals.withColumns({"title": text("$.title"), "body": F.replace(text("$.body"), F.lit("\n"), F.lit(" / "))}).drop(context)
+
+
+def export_all(loaders: dict[str, Callable[[], DataFrame]], folder: str, names: list[str] | None = None, form: str = "csv") -> list[tuple[str, int, str | None]]:
+    """Each dataset as :func:`export` writes it: (name, rows, why it was left out).
+
+    One that cannot be loaded or has no rows is left out and does not stop the
+    others; unknown names and forms are errors before anything is written.
+    """
+    unknown = sorted(set(names or ()) - set(loaders))
+    if unknown or form not in ("csv", "json"):
+        raise ValueError(f"unknown datasets: {unknown}" if unknown else f"unknown form: {form!r}")
+    report: list[tuple[str, int, str | None]] = []
+    for name in names or loaders:
+        try:
+            frame = loaders[name]()
+            rows = frame.count()
+            if rows:
+                export({name: frame}, folder, form)
+        except Exception as error:  # a dataset's fault is its own
+            report.append((name, 0, f"{type(error).__name__}: {error}".splitlines()[0][:200]))
+        else:
+            report.append((name, rows, None if rows else "no rows"))
+    return report
