@@ -14,11 +14,13 @@ A shard gathers the classes of its anchors.  It builds an FM-index of their
 words (suffixes in order of at least a window's words, BWT in a wavelet matrix of packed bits) and streams the classes through it: backward search extends every window to the
 left as long as its interval holds more than one suffix, and a window whose
 interval still does at full length is repeated unless it is the earliest of its
-interval.  The search compares words themselves, so hashes only route.  Anchors
-with more classes than ``CLASSES`` (the edges of a passage that very many texts
-share) are dealt by whole windows instead, so no shard grows with them.
+interval.  The search compares words themselves; hashes route, and two 64-bit
+ones tell which segments are equal and hence one class.  Anchors with more
+classes than ``CLASSES`` (the edges of a passage that very many texts share) are
+dealt by whole windows instead; the occurrences of one window still meet in one
+shard.
 
-Defined results: a null text has no words; null ids count as smaller than all
+Defined results: ids are integers, or texts of such; a null text has no words; null ids count as smaller than all
 others; rows that share an id are ordered by a hash of their text, and rows
 that share both are one document and get one result; an empty table gives an
 empty result; other columns pass through unless their names begin with ``__``.

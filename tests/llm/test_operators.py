@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from barloom.llm import media, queries, simhash, tokencounts, warc
+from barloom.llm import media, queries, simhash, substring, tokencounts, warc
 from barloom.llm.mixing import OP1_SQL
 from tests.llm import brute
 from tests.oracle import spark_rows, sql_rows, tables
@@ -451,6 +451,32 @@ def test_substring_dedup(found, texts):
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in found("op10_substring_dedup").items()} == want
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_crowded_anchors(spark, texts, monkeypatch, broadcast):
+    """Anchors of more classes than a shard takes, dealt by windows, by either join."""
+    monkeypatch.setattr(substring, "CLASSES", 2)
+    monkeypatch.setattr(substring, "DEAL", 2)
+    monkeypatch.setattr(substring, "BROADCAST", broadcast)
+    monkeypatch.setattr(substring, "CHUNK", 200)
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(60)]
+    many = {k: " ".join([*rng.choices("abcdef", k=9), *passage[rng.randint(0, 20) : rng.randint(40, 60)], *rng.choices("abcdef", k=9)]) for k in range(60)} | dict(list(texts.items())[-40:])
+    found = substring.without_repeats(spark.createDataFrame(list(many.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in found} == brute.without_repeats(many)
+
+
+def test_split_trees(spark, monkeypatch):
+    """Shards of more fingerprints than a tree takes are searched as several trees."""
+    monkeypatch.setattr(simhash, "TREE", 8)
+    rng = np.random.default_rng(2)
+    value = {int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in rng.integers(0, 2**62, 20, np.uint64) for a, b in rng.integers(0, 12, (12, 2))}
+    frame = spark.createDataFrame([(v,) for v in value], "fp long")
+    label = {r.node: r.label for r in simhash.components(simhash.links(frame)).collect()}
+    want = brute.components({v: v for v in value})
+    groups = lambda x: {frozenset(v for v in value if x.get(v, v) == g) for g in {x.get(v, v) for v in value}}
+    assert groups(label) == groups(want)
+
+
 def test_pipeline(spark, folder, docs, found):
     """All stages again in plain Python; the verdicts of the robust estimates are taken from their query."""
     good = {i for i, r in found("op5_quality").items() if r["kept"]}
