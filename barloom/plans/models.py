@@ -13,6 +13,7 @@ from barloom.operators import evaluate, ml
 from barloom.operators import signals as sig
 from barloom.plans.evaluate import ALL, PANEL, _features, _panel
 from barloom.plans.registry import WEEK, events_sql, full, lagged, query, r, rounded, shown
+from barloom.plans.signals import ternary
 from barloom.sources import bars as src
 from barloom.sources import payloads
 from barloom.streaming import live
@@ -38,7 +39,27 @@ def hk_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ml.session_features(src.brand_week_bars(spark, sf_dir)), *_HK, digits=5)
 
 
-@query("hk_features_ewm")
+def _weighted(name: str, source: str, x: str, alpha: str) -> str:
+    """A recursive CTE: the sums of decaying weights times x and of the weights, whose ratio is the adjusted average."""
+    return f"""{name} AS (SELECT symbol, rn, {x} AS num, 1::DOUBLE AS den FROM {source} WHERE rn = 1
+UNION ALL SELECT s.symbol, s.rn, {name}.num * (1 - {alpha}) + s.{x}, {name}.den * (1 - {alpha}) + 1 FROM {name} JOIN {source} s ON s.symbol = {name}.symbol AND s.rn = {name}.rn + 1)"""
+
+
+_T9, _B9 = full(9, "max(high)", "high"), full(9, "min(low)", "low")
+_SPAN = {n: f"2.0::DOUBLE / {n + 1}" for n in (3, 9, 12, 26)}
+
+
+@query(
+    "hk_features_ewm",
+    f"""WITH RECURSIVE {WEEK}, hx AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, 100 * (close - {_B9}) / ({_T9} - {_B9} + 1e-10::DOUBLE) AS rsv,
+  CASE WHEN stddev_pop(volume) OVER w * stddev_pop(close) OVER w > 0 THEN 1 END AS moves FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+{_weighted("h12", "hx", "close", _SPAN[12])}, {_weighted("h26", "hx", "close", _SPAN[26])}, hd AS (SELECT hx.*, h12.num / h12.den - h26.num / h26.den AS dif FROM hx JOIN h12 USING (symbol, rn) JOIN h26 USING (symbol, rn)),
+{_weighted("h9", "hd", "dif", _SPAN[9])}, hr AS (SELECT symbol, date, rsv, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM hx WHERE rsv IS NOT NULL),
+{_weighted("h3", "hr", "rsv", _SPAN[3])}, hk AS (SELECT hr.symbol, hr.date, hr.rn, h3.num / h3.den AS k FROM hr JOIN h3 USING (symbol, rn)), {_weighted("hk3", "hk", "k", _SPAN[3])},
+hj AS (SELECT hk.symbol, hk.date, hk.k, hk3.num / hk3.den AS d FROM hk JOIN hk3 USING (symbol, rn)),
+f AS (SELECT hd.symbol, hd.date, hd.dif, h9.num / h9.den AS dea, hj.k, hj.d FROM hd JOIN h9 USING (symbol, rn) JOIN hj ON hj.symbol = hd.symbol AND hj.date = hd.date WHERE hd.rn >= 60 AND moves IS NOT NULL)
+SELECT symbol, date, {r("dif", 5)} AS dif, {r("dea", 5)} AS dea, {r("2 * (dif - dea)", 5)} AS hist, {r("k", 5)} AS k, {r("d", 5)} AS d, {r("3 * k - 2 * d", 5)} AS j FROM f""",
+)
 def hk_features_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ml.session_features(src.brand_week_bars(spark, sf_dir)), "dif", "dea", "hist", "k", "d", "j", digits=5)
 
@@ -101,14 +122,18 @@ def trend_wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("date", *(rounded(F.col(f"`{n}`")).alias(f"b{n[6:]}") for n in names))
 
 
-@query("trend_wide_all")
+#: The SQL names the 25 brands that the tables have; the query takes those it finds.
+@query("trend_wide_all", f"WITH {WEEK} SELECT date, {', '.join(f'''{r(f'''max(close) FILTER (WHERE symbol = 'Brand#{k}')''')} AS b{k}''' for k in range(1, 26))} FROM bars GROUP BY date")
 def trend_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trend_wide_pivot of every symbol of the data."""
     wide = src.brand_week_bars(spark, sf_dir).groupBy("date").pivot("symbol").agg(F.max("close"))
     return wide.select("date", *(rounded(F.col(f"`{n}`")).alias(f"b{n.removeprefix('Brand#')}") for n in wide.columns[1:]))
 
 
-@query("ml_signal")
+_ZONE = ", ".join(f"coalesce(pred {op} {full(120, f'quantile_cont(pred, {q})', 'pred', least=10)}, false) AS {name}" for name, op, q in (("hi", ">=", 0.7), ("lo", "<=", 0.4)))
+
+
+@query("ml_signal", f"WITH {WEEK}, {PANEL}, z AS (SELECT symbol, date, {_ZONE} FROM panel) SELECT symbol, date, {ternary(f'hi AND NOT coalesce({lagged("hi")}, false)', f'lo AND NOT coalesce({lagged("lo")}, false)')} AS signal FROM z")
 def ml_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.quantile_zone(_panel(spark, sf_dir), "pred").select("symbol", "date", "signal")
 

@@ -10,6 +10,7 @@ from barloom.operators import screen as sc
 from barloom.operators import signals as sig
 from barloom.plans.registry import WEEK, full, lagged, prev, query, r, rounded, w
 from barloom.plans.signals import EMA_CROSS, HELD
+from barloom.plans.technical import MACD, rsi_sql
 from barloom.sources.bars import brand_week_bars, snapshot, table
 
 _SPIKE = f"volume / nullif({full(20, 'avg(volume)', 'volume', prev(20))}, 0) >= 2"
@@ -50,7 +51,20 @@ def screen_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _screen(spark, sf_dir, list(_CONDITIONS), "any")
 
 
-@query("screen_crosses")
+_X = {"golden_cross": ("x", ">", "<="), "death_cross": ("x", "<", ">="), "macd_golden": ("m", ">", "<="), "macd_death": ("m", "<", ">=")}
+_CROSSED = ", ".join(f"coalesce({v} {now} 0 AND {lagged(v)} {was} 0, false)::INT AS {n}" for n, (v, now, was) in _X.items())
+_NAMES = sorted([*_X, "rsi_oversold", "rsi_overbought"])
+_FLAGS = ", ".join([*(f"max({n}) OVER {w(3)} = 1 AS {n}" for n in _X), "coalesce(rsi < 30, false) AS rsi_oversold", "coalesce(rsi > 70, false) AS rsi_overbought"])
+_MATCHED = "list_filter([" + ", ".join(f"CASE WHEN {n} THEN '{n}' END" for n in _NAMES) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    "screen_crosses",
+    f"""WITH RECURSIVE {WEEK}, {rsi_sql()}, {EMA_CROSS}, {MACD}, a AS (SELECT b.symbol, b.date, b.close, e.x, macd.dif - macd.dea AS m, rsi.rsi FROM bars b JOIN ecd e USING (symbol, date) JOIN macd USING (symbol, date) JOIN rsi USING (symbol, date)),
+x AS (SELECT *, 100 * (close / {lagged("close")} - 1) AS change_pct, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back, {_CROSSED} FROM a),
+f AS (SELECT symbol, date, close, change_pct, n, back, {_FLAGS} FROM x), s AS (SELECT *, {_MATCHED} AS m FROM f WHERE back = 1 AND n >= 25)
+SELECT symbol, date, {r("close")} AS close, {r("change_pct")} AS change_pct, CAST(len(m) AS INT) AS score, array_to_string(m, ',') AS matched FROM s WHERE len(m) >= 1""",
+)
 def screen_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _screen(spark, sf_dir, sorted(sc.RECURSIVE), "any")
 
