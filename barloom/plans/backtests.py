@@ -14,8 +14,8 @@ from barloom.operators import portfolio as pf
 from barloom.operators import robust
 from barloom.operators import signals as sig
 from barloom.plans.evaluate import PANEL, _panel
-from barloom.plans.registry import WEEK, events_sql, full, lagged, led, query, r, rounded, shown, w
-from barloom.plans.signals import EMA_CROSS
+from barloom.plans.registry import WEEK, events_sql, ewm, full, lagged, led, numbered, query, r, rounded, shown, w
+from barloom.plans.signals import EMA_CROSS, ternary
 from barloom.sources.bars import brand_week_bars, event_bars, table
 
 # a limit day is a move of 9.9 per cent
@@ -329,18 +329,49 @@ def _ema(fast: int, slow: int) -> sig.Strategy:
     return partial(sig.ema_cross, fast=fast, slow=slow)
 
 
-@query("param_sweep")
+def sweep_sql(base: str) -> str:
+    """CTEs up to ``met`` over the cases of _GRID: the symbol is that of ``base`` (symbol, date, close), a tab and the case."""
+    averages = ", ".join(ewm(f"c{n}", "ecx", "close", f"2.0 / {n + 1}") for n in (*_GRID["fast"], *_GRID["slow"]))
+    cases = " UNION ALL ".join(f"SELECT ecx.symbol || chr(9) || 'fast={f},slow={s}' AS symbol, date, close, c{f}.y - c{s}.y AS x FROM ecx JOIN c{f} USING (symbol, rn) JOIN c{s} USING (symbol, rn)" for f in _GRID["fast"] for s in _GRID["slow"])
+    signal = ternary(f"x > 0 AND {lagged('x')} <= 0", f"x < 0 AND {lagged('x')} >= 0")
+    return f"""{WEEK.replace("bars AS (", "weeks AS (")}, base AS ({base}), {numbered("base", "ecx")}, {averages}, crossed AS ({cases}),
+bars AS (SELECT symbol, date, close FROM crossed), sig_ema AS (SELECT symbol, date, {signal} AS signal FROM crossed), {VECTOR}, {TRADES}, {METRICS}"""
+
+
+_SWEPT = sweep_sql("SELECT symbol, date, close FROM weeks")
+_CASE = "split_part(symbol, chr(9), 1) AS symbol, split_part(symbol, chr(9), 2) AS \"case\""
+
+
+@query("param_sweep", f"WITH RECURSIVE {_SWEPT} SELECT {_CASE}, num_trades, {r('total_return')} AS total_return, {r('sharpe')} AS sharpe, {r('max_drawdown')} AS max_drawdown FROM met")
 def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = robust.param_sweep(brand_week_bars(spark, sf_dir), _ema, _GRID)
     return shown(out, "total_return", "sharpe", "max_drawdown", keys=("symbol", "case", "num_trades"))
 
 
-@query("optimize_split")
+_PARTED = """WITH k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM weeks)
+SELECT symbol || chr(10) || CASE WHEN k <= floor(n * (1 - 0.3::DOUBLE)) - 5 THEN 'in' ELSE 'out' END AS symbol, date, close FROM k"""
+OPTIMISED = f"""{sweep_sql(_PARTED)}, sw AS (SELECT split_part(symbol, chr(10), 1) AS symbol, split_part(split_part(symbol, chr(10), 2), chr(9), 1) AS part, split_part(symbol, chr(9), 2) AS label, sharpe FROM met),
+best AS (SELECT symbol, label, sharpe AS in_sample FROM sw WHERE part = 'in' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, label) = 1),
+opt AS (SELECT best.symbol, best.label, in_sample, sw.sharpe AS out_of_sample FROM best LEFT JOIN sw ON sw.symbol = best.symbol AND sw.label = best.label AND part = 'out')"""
+
+
+@query("optimize_split", f"WITH RECURSIVE {OPTIMISED} SELECT symbol, label AS \"case\", {r('in_sample')} AS in_sample, {r('out_of_sample')} AS out_of_sample FROM opt")
 def optimize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(robust.optimise(brand_week_bars(spark, sf_dir), _ema, _GRID), "in_sample", "out_of_sample", keys=("symbol", "case"))
 
 
-@query("plateau_score")
+def plateau_sql(rows: str) -> str:
+    """A CTE ``pl`` (symbol, plateau) of ``rows`` (symbol, label, sharpe): the two best of the four cases, by their parameters' spread."""
+    value = lambda p: f"CAST(regexp_extract(label, '{p}=([0-9]+)', 1) AS DOUBLE)"
+    spread = lambda p: f"stddev_pop({p}) FILTER (WHERE place <= 2) / nullif(max({p}) - min({p}), 0)"
+    return f"""pr AS (SELECT symbol, {value("fast")} AS fast, {value("slow")} AS slow, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, label) AS place FROM {rows}),
+pl AS (SELECT symbol, greatest(0, least(1, 1 - ({spread("fast")} + {spread("slow")}) / 2 / 0.29::DOUBLE)) AS plateau FROM pr GROUP BY symbol)"""
+
+
+_LABELLED = "(SELECT split_part(symbol, chr(9), 1) AS symbol, split_part(symbol, chr(9), 2) AS label, sharpe FROM met)"
+
+
+@query("plateau_score", f"WITH RECURSIVE {_SWEPT}, {plateau_sql(_LABELLED)} SELECT symbol, {r('plateau')} AS plateau FROM pl")
 def plateau_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     sweep = robust.param_sweep(brand_week_bars(spark, sf_dir), _ema, _GRID)
     return shown(robust.plateau(sweep, ["fast", "slow"]), "plateau", keys=("symbol",))

@@ -13,7 +13,7 @@ from barloom.operators import journal as jn
 from barloom.operators import robust
 from barloom.operators import screen as sc
 from barloom.operators import signals as sig
-from barloom.plans.backtests import _GRID, _ema
+from barloom.plans.backtests import _GRID, _PARTED, OPTIMISED, _ema, plateau_sql
 from barloom.plans.operations import _SETTLED, _settled
 from barloom.plans.registry import ORACLE_SQL, WEEK, query, r, rounded, shown
 from barloom.sources import store
@@ -33,7 +33,18 @@ def walk_forward_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "n", *(rounded(c, 4).alias(c) for c in ("median", "std", "positive_share")), "verdict")
 
 
-@query("optimize_verdict")
+# the sweep of both parts and of all bars at once
+_PARTS = f"{_PARTED} UNION ALL SELECT symbol || chr(10) || 'all', date, close FROM weeks"
+_WHOLE = "(SELECT symbol, label, sharpe FROM sw WHERE part = 'all')"
+_LOST = "CASE WHEN abs(in_sample) > 1e-12 THEN (in_sample - out_of_sample) / abs(in_sample) ELSE (out_of_sample < in_sample)::INT::DOUBLE END"
+
+
+@query(
+    "optimize_verdict",
+    f"""WITH RECURSIVE {OPTIMISED.replace(_PARTED, _PARTS)}, {plateau_sql(_WHOLE)}, v AS (SELECT *, {_LOST} AS degradation FROM opt LEFT JOIN pl USING (symbol))
+SELECT symbol, label AS "case", {r("in_sample")} AS in_sample, {r("out_of_sample")} AS out_of_sample, {r("degradation")} AS degradation, {r("plateau")} AS plateau,
+  CASE WHEN in_sample <= 0 THEN 'losing' WHEN out_of_sample <= 0 THEN 'overfitted' WHEN degradation > 0.5 THEN 'decayed' WHEN plateau < 0.3 THEN 'spike' WHEN degradation > 0.3 THEN 'fading' ELSE 'holding' END AS verdict FROM v""",
+)
 def optimize_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each symbol's best case holds outside the bars that chose it."""
     bars = brand_week_bars(spark, sf_dir)
