@@ -15,6 +15,7 @@ from barloom.operators.signals import BUY, HOLD, SELL, held
 
 YEAR = 252
 LIMIT = 0.099  # a move of this share of the close before is a limit day
+FLAT = 1e-12  # a smaller step of the equity is rounding, no gain or loss
 BPS = (2.5, 5.0)  # commission and slippage where no cost model is given
 
 
@@ -94,7 +95,8 @@ def metrics(equity: DataFrame, trades: DataFrame, by: tuple[str, ...] = ("symbol
     """Fourteen figures of each run: equity (by, date, equity) and closed trades (by, pnl_pct)."""
     equity = equity.select(*by, "date", "equity").filter("equity is not null")
     order = Window.partitionBy(*by).orderBy("date")
-    steps = equity.withColumn("__r", div(F.col("equity"), F.lag("equity").over(order)) - 1)
+    step = div(F.col("equity"), F.lag("equity").over(order)) - 1
+    steps = equity.withColumn("__r", F.when(F.abs(step) < FLAT, 0.0).otherwise(step))
     out = steps.groupBy(*by).agg(
         F.min_by("equity", "date").alias("__first"),
         F.max_by("equity", "date").alias("__last"),
