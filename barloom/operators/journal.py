@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +17,48 @@ def ledger(trades: DataFrame) -> DataFrame:
     """Positions after all trades (symbol, at, action buy/add/trim/sell, shares, price): average cost, realised gains.
 
     Buys move the cost to the weighted mean; sales realise the difference, close
-    the position at nothing left, and are rejected where they exceed it.
+    the position at nothing left, and are rejected where they exceed it.  A
+    symbol's trades are sorted by Spark and stream by in batches, so a task
+    holds one position, not its trades.
     """
+    names = [x.split()[0] for x in POSITION.split(", ")]
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
         have = cost = gained = 0.0
-        rejected = 0
-        for action, quantity, price in frame.sort_values("at")[["action", "shares", "price"]].itertuples(index=False):
-            if action in ("buy", "add"):
-                cost = (cost * have + price * quantity) / (have + quantity)
-                have += quantity
-            elif quantity > have + 1e-9:
-                rejected += 1
-            else:
-                gained += (price - cost) * quantity
-                have -= quantity
-                if have <= 1e-9:
-                    have = cost = 0.0
-        return pd.DataFrame([(key[0], have, cost, gained, "open" if have else "closed", len(frame), rejected)], columns=[x.split()[0] for x in POSITION.split(", ")])
-
-    return trades.select("symbol", "at", "action", "shares", "price").groupBy("symbol").applyInPandas(run, POSITION)
+        n = rejected = 0
+        for batch in batches:
+            done = []
+            for symbol, bought, quantity, price in zip(*(batch[c].to_pylist() for c in ("symbol", "bought", "shares", "price")), strict=True):
+                if now != (symbol,):
+                    if now:
+                        done.append((*now, have, cost, gained, "open" if have else "closed", n, rejected))
+                    now, have, cost, gained, n, rejected = (symbol,), 0.0, 0.0, 0.0, 0, 0
+                n += 1
+                if bought:
+                    cost = (cost * have + price * quantity) / (have + quantity)
+                    have += quantity
+                elif quantity > have + 1e-9:
+                    rejected += 1
+                else:
+                    gained += (price - cost) * quantity
+                    have -= quantity
+                    if have <= 1e-9:
+                        have = cost = 0.0
+            if done:
+                yield _positions(done, names)
+        if now:
+            yield _positions([(*now, have, cost, gained, "open" if have else "closed", n, rejected)], names)
+
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    rows = trades.select("symbol", "at", F.coalesce(F.col("action").isin("buy", "add"), F.lit(False)).alias("bought"), number("shares"), number("price"))
+    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", F.col("at").asc_nulls_last())
+    return ordered.select("symbol", "bought", "shares", "price").mapInArrow(run, POSITION)
+
+
+def _positions(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def book(positions: DataFrame, quotes: DataFrame) -> DataFrame:

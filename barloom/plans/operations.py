@@ -189,7 +189,7 @@ def journal_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     action = F.when(F.col("l_returnflag") == "R", "trim").otherwise("buy")
-    order = F.format_string("%s %012d %03d %012d %012d %020.4f %010.2f", F.col("l_shipdate").cast("string"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     return lines.select(F.concat(F.lit("S"), (F.col("l_suppkey") % 50).cast("string")).alias("symbol"), order.alias("at"), action.alias("action"), F.col("l_quantity").alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
 
 
