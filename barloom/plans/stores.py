@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.lineage import shared_folder
+from barloom.functions.lineage import cut, shared_folder
 from barloom.operators import backtest as bt
 from barloom.operators import signals as sig
 from barloom.plans.backtests import METRICS, POSITIONS, TRADES, VECTOR
@@ -85,8 +85,9 @@ SELECT run, symbol, 'total_return' AS metric, {r("total_return")} AS value, row_
 def runs_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs saved, a third saved and removed, and the two compared by what is read back."""
     kept = store.RunStore(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}")
-    bars = brand_week_bars(spark, sf_dir)
-    ema = bt.vectorised(sig.ema_cross(bars))
+    # written once each: nine saved tables come from them
+    bars = cut(brand_week_bars(spark, sf_dir))
+    ema = cut(bt.vectorised(sig.ema_cross(bars)))
     trades = bt.trades_of(ema)
     hold = bars.groupBy("symbol").agg((F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1).alias("total_return"))
     named = lambda frame, at: frame.withColumn("created_at", F.lit(at).cast("timestamp"))
