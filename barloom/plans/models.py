@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.lineage import shared_folder
+from barloom.functions.lineage import cut, shared_folder
 from barloom.functions.panel import div, lag
 from barloom.operators import evaluate, ml
 from barloom.operators import signals as sig
@@ -141,7 +141,8 @@ def ml_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gbdt_train")
 def gbdt_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rank coefficients of boosted trees on the test dates."""
-    panel = _features(spark, sf_dir, ALL).withColumn("label", F.percent_rank().over(_day()) - 0.5)
+    # written once: scaling, every fit's cache and the scores read the panel, not the lines again
+    panel = cut(_features(spark, sf_dir, ALL).withColumn("label", F.percent_rank().over(_day()) - 0.5))
     scored = ml.train_gbt(panel, ALL)
     return shown(evaluate.daily_ic(scored.filter("split = 'test'")), "ic", keys=("date",))
 

@@ -7,8 +7,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.lineage import shared_folder
-from barloom.operators import evaluate, training
+from barloom.functions.lineage import cut, shared_folder
+from barloom.operators import alpha, evaluate, training
 from barloom.plans.evaluate import ALL, _features
 from barloom.plans.registry import query, rounded
 from barloom.sources.bars import brand_week_bars
@@ -17,8 +17,13 @@ from barloom.sources.bars import brand_week_bars
 FOLDS = {"n_folds": 3, "test_days": 30, "valid_days": 40, "embargo": 5, "min_train_days": 150}
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of all bars, written once: what follows reads the panel, which grows with symbols and dates, and not the lines again."""
+    return cut(_features(spark, sf_dir, ALL))
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.labelled(_features(spark, sf_dir, ALL))
+    return training.labelled(_kept(spark, sf_dir))
 
 
 @query("wf_retrain")
@@ -68,7 +73,7 @@ def train_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predict_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of the last date by the kept model, as the store gives them back for the active model."""
     store, _ = kept_model(spark, sf_dir)
-    panel = _features(spark, sf_dir, ALL)
+    panel = _kept(spark, sf_dir)
     last = panel.agg(F.max("date")).first()[0]
     store.predict(store.active_id("brands"), panel, last)
     return store.top(last, universe="brands").select("symbol", "date", rounded("score").alias("score"))
@@ -78,9 +83,9 @@ def predict_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last bar of each symbol with the active model's score."""
     store, model_id = kept_model(spark, sf_dir)
-    bars = brand_week_bars(spark, sf_dir)
+    bars = cut(brand_week_bars(spark, sf_dir))
     last = bars.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
-    store.predict(model_id, _features(spark, sf_dir, ALL), top=None)
+    store.predict(model_id, cut(alpha.panel(bars, names=ALL, horizon=5)), top=None)
     return store.ml_score(last, "brands").select("symbol", "date", rounded("close", 4).alias("close"), rounded("ml_score").alias("ml_score"))
 
 
@@ -88,4 +93,5 @@ def ml_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backtest_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the kept model earns from its test part on."""
     store, model_id = kept_model(spark, sf_dir)
-    return store.backtest(model_id, _features(spark, sf_dir, ALL), brand_week_bars(spark, sf_dir))
+    bars = cut(brand_week_bars(spark, sf_dir))
+    return store.backtest(model_id, cut(alpha.panel(bars, names=ALL, horizon=5)), bars)
