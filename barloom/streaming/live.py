@@ -7,17 +7,21 @@ cooldown, which is state kept by rule and symbol.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.screen import fired
 
 FIRING = "rule_id int, symbol string, ts timestamp, type string"
+#: Groups of rules and symbols that share a state; another number cannot take up an older checkpoint.
+BUCKETS = 2048
 
 
 def tick_bars(ticks: DataFrame, unit: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
@@ -53,40 +57,40 @@ def quote_facts(quotes: DataFrame, known: DataFrame) -> DataFrame:
     return rows
 
 
-class Cooldown(StatefulProcessor):
-    """Of a rule's firings on a symbol those that come its cooldown after the last one that passed.
+def cooldown(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Of a rule's firings on a symbol those that come its cooldown after the last one that passed, for the rules and symbols of a bucket.
 
-    The state is the time of that one.  A timer at the end of the cooldown
-    clears it once the watermark is past, when no firing can come that it would
-    still silence, so what is kept is bounded by what fired lately.
+    The state has, by rule and symbol, the time of that one and the end of its
+    cooldown.  An entry goes once the watermark is past the end, when no firing
+    can come that it would still silence, so what is kept is bounded by what
+    fired lately.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "micros bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["micros", "type"], ignore_index=True)
-        last = self.last.get()[0] if self.last.exists() else None
-        before, kept = last, []
-        for at, micros, minutes in zip(frame.index, frame["micros"].tolist(), frame["minutes"].tolist(), strict=True):
-            if last is None or minutes <= 0 or micros - last >= minutes * 60_000_000:
-                kept.append(at)
-                last = micros
-        if last != before:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.last.update((last,))
-            self.handle.registerTimer(max(last // 1000 + int(frame["minutes"].max()) * 60_000, timerValues.getCurrentWatermarkInMs()) + 1)
-        out = frame.loc[kept]
-        yield pd.DataFrame({"rule_id": [key[0]] * len(out), "symbol": [key[1]] * len(out), "ts": pd.to_datetime(out["micros"], unit="us", utc=True), "type": out["type"]})
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    watermark = state.getCurrentWatermarkMs()
+    silent = {(rule, symbol): (last, until) for rule, symbol, last, until in json.loads(state.get[0])} if state.exists else {}
+    silent = {k: v for k, v in silent.items() if v[1] >= watermark}
+    kept = []
+    if not state.hasTimedOut:
+        columns = ("rule_id", "symbol", "micros", "type", "minutes")
+        rows = [row for f in frames for row in zip(*(f[c].tolist() for c in columns), strict=True)]
+        for name, own in groupby(sorted(rows, key=lambda row: (row[0], row[1] or "", row[2], row[3])), key=lambda row: row[:2]):
+            last, until = silent.get(name, (None, 0))
+            before, longest = last, 0
+            for _, _, micros, kind, minutes in own:
+                longest = max(longest, minutes)
+                if last is None or minutes <= 0 or micros - last >= minutes * 60_000_000:
+                    kept.append((*name, micros, kind))
+                    last = micros
+            if last != before:
+                until = last // 1000 + longest * 60_000
+            silent[name] = (last, until)
+    if silent:
+        state.update((json.dumps([(*k, *v) for k, v in silent.items()]),))
+        state.setTimeoutTimestamp(max(min(until for _, until in silent.values()), watermark) + 1)
+    elif state.exists:
+        state.remove()
+    if kept:
+        rules, symbols, times, kinds = zip(*kept, strict=True)
+        yield pd.DataFrame({"rule_id": rules, "symbol": symbols, "ts": pd.to_datetime(times, unit="us", utc=True), "type": kinds})
 
 
 def cooled(firings: DataFrame, lateness: str = "0 seconds") -> DataFrame:
@@ -95,10 +99,12 @@ def cooled(firings: DataFrame, lateness: str = "0 seconds") -> DataFrame:
     Firings of one batch are taken in order of time.  A firing later than
     ``lateness`` behind the newest time seen in earlier batches is dropped; one
     that is late but not as late is silent if it lies before the last that
-    passed.  Start the query in :func:`keyed_state`.
+    passed.  Rules and symbols are dealt into ``BUCKETS``, since a call for each
+    of them costs far more than its rows.  Start the query in :func:`keyed_state`.
     """
     rows = firings.select(F.col("rule_id").cast("int").alias("rule_id"), "symbol", "ts", F.unix_micros("ts").alias("micros"), "type", F.coalesce("cooldown_minutes", F.lit(0)).cast("int").alias("minutes"))
-    return rows.withWatermark("ts", lateness).groupBy("rule_id", "symbol").transformWithStateInPandas(Cooldown(), FIRING, "Append", "EventTime")
+    dealt = rows.withWatermark("ts", lateness).withColumn("bucket", F.pmod(F.xxhash64("rule_id", "symbol"), F.lit(BUCKETS))).groupBy("bucket")
+    return dealt.applyInPandasWithState(cooldown, FIRING, "silent string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def watched(quotes: DataFrame, known: DataFrame, rules: DataFrame, positions: DataFrame | None = None, calendar: DataFrame | None = None, lateness: str = "0 seconds") -> DataFrame:
